@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.shipping import ship
+
 #: Rows of a lookup table up to which it may be broadcast (16-100 bytes a row).
 BROADCAST_ROWS = 100_000
 
@@ -24,6 +26,7 @@ def session_of(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     shared_dir(spark)
+    ship(spark)
     return spark
 
 
