@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import benchmark_hits
+from .langid import identify
 from .mixing import mix_sources
 from .simhash import near_groups
 from .substring_dedup import substring_dedup
@@ -31,6 +32,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    marked = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    return identify(marked, marked.where("not held_out"), keep=("doc_id", "held_out"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -47,6 +55,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op5_substring_dedup, op6_simhash, op7_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_language_id, op5_substring_dedup, op6_simhash, op7_token_counts)}
 
 ORACLE: dict[str, str] = {}
