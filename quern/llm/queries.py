@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import benchmark_hits
 from .langid import identify
 from .mixing import mix_sources
+from .pii import find_pii
 from .simhash import near_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -55,6 +56,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_language_id, op5_substring_dedup, op6_simhash, op7_token_counts)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_language_id, op5_substring_dedup, op6_simhash, op7_token_counts, op8_pii)}
 
 ORACLE: dict[str, str] = {}
