@@ -13,6 +13,7 @@ from .embeddings import embedding_dedup
 from .langid import identify
 from .mixing import mix_sources
 from .pii import find_pii
+from .quality import classify
 from .simhash import near_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -62,10 +63,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_language_id, op5_substring_dedup, op6_simhash, op7_token_counts, op8_pii, op10_embedding_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_language_id, op5_substring_dedup, op6_simhash, op7_token_counts, op8_pii, op9_quality, op10_embedding_dedup)}
 
 ORACLE: dict[str, str] = {}
