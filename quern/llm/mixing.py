@@ -65,12 +65,12 @@ def uniform(level: int, *of: str) -> Column:
 
 
 def fold(bucket: str) -> str:
-    """SQL: (done array, rest item) of an array of items (id, h, size, whole, mass, u), folded from the left."""
+    """SQL: (done array, rest item) of an array of items (doc_id, h, size, whole, mass, u, row), folded from the left."""
     up = "x.u * (least(a.rest.size - a.rest.mass, x.mass) + least(a.rest.mass, x.size - x.mass)) < least(a.rest.mass, x.size - x.mass)"
     fills, empties = "a.rest.size - a.rest.mass <= x.mass", "a.rest.mass <= x.size - x.mass"
 
     def item(of: str, mass: str) -> str:
-        return f"named_struct('doc_id', {of}.doc_id, 'h', {of}.h, 'size', {of}.size, 'whole', {of}.whole, 'mass', {mass}, 'u', {of}.u)"
+        return f"named_struct('doc_id', {of}.doc_id, 'h', {of}.h, 'size', {of}.size, 'whole', {of}.whole, 'mass', {mass}, 'u', {of}.u, 'row', {of}.row)"
 
     def step(done: str, rest: str) -> str:
         return f"named_struct('done', concat(a.done, array({done})), 'rest', {rest})"
@@ -88,7 +88,7 @@ def fold(bucket: str) -> str:
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST) -> DataFrame:
     """Words that a mix takes of each document.
 
-    One row per row of ``docs``: doc_id, source, size (words), source_size,
+    One row per row of ``docs``: row (its place in the scan), doc_id, source, size (words), source_size,
     target (of its source), taken (words, repeats counted), copies (taken /
     size).  A document is taken whole times or, one a source, cut at a word;
     never more than ``most`` times its size.  Null and empty texts have size 0
@@ -102,6 +102,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.col(doc_id), F.col(text)).alias("h"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
@@ -112,11 +113,11 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     joined = joined.withColumn("rate", rate).withColumn("whole", F.floor("rate"))
     mass = (F.col("rate") - F.col("whole")) * F.col("size")
     is_open = (F.col("size") > 0) & (F.col("rate") > F.col("whole"))
-    shown = ["doc_id", "source", "size", "source_size", "target"]
+    shown = ["row", "doc_id", "source", "size", "source_size", "target"]
     out = joined.where(~is_open).select(*shown, (F.col("whole") * F.col("size")).cast("long").alias("taken"))
     # items carry what the fold needs; bucket keys carry the source's facts
     level, most_items = 0, largest or 0
-    items = joined.where(is_open).select("source", "source_size", "target", F.col("n").alias("left"), F.struct("doc_id", "h", F.col("size").cast("double").alias("size"), "whole", mass.alias("mass"), uniform(0, "h", "doc_id").alias("u")).alias("item"))
+    items = joined.where(is_open).select("source", "source_size", "target", F.col("n").alias("left"), F.struct("doc_id", "h", F.col("size").cast("double").alias("size"), "whole", mass.alias("mass"), uniform(0, "h", "doc_id").alias("u"), "row").alias("item"))
     key = ["source", "source_size", "target", "left"]
     while True:
         buckets = F.ceil(F.col("left") / FAN_IN)
@@ -136,5 +137,15 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
 
 def _taken(rows: DataFrame, shown: list[str]) -> DataFrame:
     return rows.select(
-        F.col("x.doc_id").alias("doc_id"), "source", F.col("x.size").cast("long").alias("size"), "source_size", "target", (F.col("x.whole") * F.col("x.size") + F.round("x.mass")).cast("long").alias("taken")
+        F.col("x.row").alias("row"), F.col("x.doc_id").alias("doc_id"), "source", F.col("x.size").cast("long").alias("size"), "source_size", "target", (F.col("x.whole") * F.col("x.size") + F.round("x.mass")).cast("long").alias("taken")
     ).select(*shown, "taken")
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with their columns and mix_size, mix_taken, mix_copies.
+
+    ``docs`` must be a stable scan (files), whose rows keep their places.
+    """
+    chosen = mix_sources(docs, text, source, doc_id, weights, share, most).where("taken > 0")
+    chosen = chosen.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("copies").alias("mix_copies"))
+    return docs.withColumn("mix_row", F.monotonically_increasing_id()).join(chosen, "mix_row").drop("mix_row")
