@@ -54,16 +54,16 @@ def spark_type(ref: Ref, structs: dict[str, object] | None = None, depth: int =
     if ref.kind == "any":
         return ANY_TYPE
     if ref.kind == "list":
-        return T.ArrayType(spark_type(ref.item, structs, depth), False)
+        return T.ArrayType(spark_type(ref.item, structs, depth))
     if ref.kind == "map":
-        return T.MapType(spark_type(ref.key, structs, depth), spark_type(ref.item, structs, depth), False)
+        return T.MapType(spark_type(ref.key, structs, depth), spark_type(ref.item, structs, depth))
     if depth < 0:
         return T.BinaryType()
     return struct_type(structs[ref.name], structs, depth - 1)
 
 
 def struct_type(struct, structs, depth: int = 3) -> T.StructType:
-    return T.StructType([T.StructField(f.name, spark_type(f.ref, structs, depth), f.ref.kind in ("struct", "any"), {"num": f.num}) for f in struct.fields])
+    return T.StructType([T.StructField(f.name, spark_type(f.ref, structs, depth), True, {"num": f.num}) for f in struct.fields])
 
 
 def range_of(scalar: str) -> tuple[int, int] | None:

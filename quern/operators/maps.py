@@ -32,7 +32,7 @@ def delete(m: Column, key) -> Column:
 
 
 def clear(m: Column) -> Column:
-    return F.map_filter(m, lambda *_: F.lit(False))
+    return F.map_filter(m, lambda k, v: F.lit(False))
 
 
 def entries(m: Column) -> Column:

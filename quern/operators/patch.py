@@ -34,7 +34,11 @@ def apply(record: Column, ops: Column, struct: Struct, structs: dict[str, Struct
     """
     if depth > MAX_DEPTH:
         raise ValueError("patch is nested too deeply")
-    fields = [_field(record[f.name], F.filter(ops, lambda o, n=f.num: o["field_num"] == n), f.ref, structs, depth).alias(f.name) for f in struct.fields]
+
+    def own(num: int) -> Column:
+        return F.filter(ops, lambda o: o["field_num"] == num)
+
+    fields = [_field(record[f.name], own(f.num), f.ref, structs, depth).alias(f.name) for f in struct.fields]
     return F.when(F.size(ops) <= MAX_OPS, F.struct(*fields)).otherwise(F.raise_error(F.lit("patch has too many ops")))
 
 

@@ -1,8 +1,8 @@
 """Registered queries of the record engine, each with an independent DuckDB oracle where SQL can express it."""
 
-from __future__ import annotations
+from . import calls, collections, records
 
-from collections.abc import Callable
+QUERIES = records.QUERIES
+ORACLE = records.ORACLE
 
-QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "calls", "collections", "records"]

@@ -62,5 +62,6 @@ def past_deadline(start: Column, end: Column, deadline_ms: Column) -> Column:
 
 def idle_gaps(frames: DataFrame, session: str, ts: str, seconds: int = 30) -> DataFrame:
     """Extension: frames that follow an idle time of over ``seconds``, when a ping would have been sent."""
-    gap = F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(W.partitionBy(session).orderBy(ts, *[c for c in frames.columns if c not in (session, ts)]))
+    at = F.col(ts).cast("timestamp").cast("double")
+    gap = at - F.lag(at).over(W.partitionBy(session).orderBy(ts, *[c for c in frames.columns if c not in (session, ts)]))
     return frames.withColumn("gap_s", gap).where(F.col("gap_s") > seconds)
