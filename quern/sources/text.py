@@ -25,9 +25,9 @@ class TextError(ValueError):
 
 
 def _quoted(col: Column) -> Column:
-    out = F.regexp_replace(col, r"\\", r"\\\\\\\\")
-    for raw, mark in (('"', r'\\\\"'), ("\n", r"\\\\n"), ("\t", r"\\\\t"), ("\r", r"\\\\r")):
-        out = F.regexp_replace(out, raw, mark)
+    out = F.replace(col, F.lit("\\"), F.lit("\\\\"))
+    for raw, mark in (('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(raw), F.lit(mark))
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
