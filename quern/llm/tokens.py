@@ -96,16 +96,17 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", doc_id: str =
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     words = stored(rows.select("text").mapInArrow(_distinct, "p string, df long").groupBy("p").agg(F.sum("df").alias("df")).mapInArrow(_pieces(model), "p string, df long, n long"))
     short = words.where(F.octet_length("p") <= HEAD_BYTES)
-    # the least document frequency (a power of two) that at most ``head`` pre-tokens reach
-    steps = sorted((r[0], r[1]) for r in short.groupBy(F.floor(F.log2("df")).alias("b")).count().collect())
+    # the least document frequency (to an eighth of a doubling) that at most ``head`` pre-tokens reach
+    step = F.floor(F.log2("df") * 8)
     least, left = None, head
-    for step, count in reversed(steps):
+    for at, count in sorted(((r[0], r[1]) for r in short.groupBy(step.alias("b")).count().collect()), reverse=True):
         if count > left:
             break
-        least, left = step, left - count
-    chosen = short.where(F.col("df") >= 2**least).select("p", "n").collect() if least is not None else []
+        least, left = at, left - count
+    chosen = short.where(step >= least).select("p", "n").collect() if least is not None else []
     known = spark.sparkContext.broadcast({r.p: r.n for r in chosen})
-    counted = stored(rows.mapInArrow(_sums(known), "row long, id long, n_bytes long, n long, p string, f long"))
-    tail = counted.where("p is not null").join(words.select("p", F.col("n").alias("each")), "p").select("row", "id", F.lit(None).cast("long").alias("n_bytes"), (F.col("each") * F.col("f")).alias("n"))
-    both = counted.where("p is null").select("row", "id", "n_bytes", "n").union(tail)
+    counted = rows.mapInArrow(_sums(known), "row long, id long, n_bytes long, n long, p string, f long")
+    # a row without a pre-token gets a key of its own, which no pre-token equals: one pass, nothing stored
+    keyed = counted.withColumn("p", F.coalesce("p", F.concat(F.lit("#"), F.col("row"))))
+    both = keyed.join(words.select("p", F.col("n").alias("each")), "p", "left").select("row", "id", "n_bytes", F.coalesce(F.col("each") * F.col("f"), "n").alias("n"))
     return both.groupBy("row", "id").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens")
