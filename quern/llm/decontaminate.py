@@ -104,30 +104,39 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     is one broadcast and one map over the documents, so a benchmark of any size
     needs bounded memory.  No shuffle.
     """
+    hits = _hits(docs, benchmark, text, item_id, item_text, n, keep, block_bytes)
+    return hits.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, n: int, keep: tuple[str, ...], block_bytes: int) -> DataFrame:
+    """The columns ``keep`` as _k0, _k1, ... with _text, _n, _spans and _items."""
     spark = session_of(docs)
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
-    out = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], F.col(text).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast(_OUT).alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    out = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast(_OUT).alias("_spans"), F.array().cast("array<string>").alias("_items"))
     for b in range(blocks):
         rows = source.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).where("t is not null").collect()
         windows = Windows([(r.i, bytes(r.t)) for r in rows], n)
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(windows)), out.schema)
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"), F.col("_text").alias("raw"))
+    return out
+
 
+def _cut(which: int):
+    """Column ``which`` without the characters from the first to the last word of each span."""
 
-def _cut(column: str):
     def cut(batches):
         for batch in batches:
             texts = []
-            for raw, spans in zip(batch["raw"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+            for raw, spans in zip(batch["_text"].to_pylist(), batch["_spans"].to_pylist(), strict=True):
                 if spans:
                     at = [(m.start(), m.end()) for m in _WORD.finditer(raw.lower())]
                     edges = [0, *(x for span in spans for x in (at[span["s"]][0], at[span["e"] - 1][1])), len(raw)]
                     raw = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 texts.append(raw)
             text = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([text if x == column else batch[x] for x in batch.schema.names[:-2]], names=batch.schema.names[:-2])
+            keep = batch.schema.names[:-2]
+            yield pa.RecordBatch.from_arrays([text if i == which else batch[x] for i, x in enumerate(keep)], names=keep)
 
     return cut
 
@@ -140,6 +149,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n:
     not show a leak.
     """
     long_items = benchmark.where(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")) >= n)
-    hits = benchmark_hits(docs, long_items, text, n=n, keep=tuple(docs.columns))
-    kept = hits.where(F.size("items") < drop_items).select(*docs.columns, "raw", "spans")
-    return kept.mapInArrow(_cut(text), docs.schema)
+    hits = _hits(docs, long_items, text, "item_id", "text", n, tuple(docs.columns), BLOCK_BYTES).where(F.size("_items") < drop_items)
+    own = [f"_k{i}" for i in range(len(docs.columns))]
+    rows = hits.select(*own, "_text", "_spans")
+    cut = rows.mapInArrow(_cut(docs.columns.index(text)), rows.select(*own).schema)
+    return cut.select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)])

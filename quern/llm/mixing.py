@@ -144,8 +144,10 @@ def _taken(rows: DataFrame, shown: list[str]) -> DataFrame:
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with their columns and mix_size, mix_taken, mix_copies.
 
-    ``docs`` must be a stable scan (files), whose rows keep their places.
+    ``docs`` must be a stable scan (files), whose rows keep their places.  Its
+    columns of these three names, if any, are replaced.
     """
     chosen = mix_sources(docs, text, source, doc_id, weights, share, most).where("taken > 0")
     chosen = chosen.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("copies").alias("mix_copies"))
-    return docs.withColumn("mix_row", F.monotonically_increasing_id()).join(chosen, "mix_row").drop("mix_row")
+    rows = docs.drop("mix_size", "mix_taken", "mix_copies").withColumn("mix_row", F.monotonically_increasing_id())
+    return rows.join(chosen, "mix_row").drop("mix_row")

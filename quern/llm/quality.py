@@ -132,7 +132,7 @@ def _scan(threshold: int | None, quality: dict, toxic: dict):
                 q.append("".join(map(str, quality_votes(s, quality.get(doc)))))
                 t.append("".join(map(str, toxic_votes(words, toxic.get(doc)))))
                 x.append(hashed(text, words, s) if threshold is None or h < threshold else None)
-            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(q), pa.array(t), pa.array(x, pa.list_(pa.int32()))], names=["h", "q", "t", "x"])
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(q, pa.string()), pa.array(t, pa.string()), pa.array(x, pa.list_(pa.int32()))], names=["h", "q", "t", "x"])
 
     return scan
 
@@ -233,6 +233,8 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, text: str = "tex
     """``docs`` without the rows that the classifier rejects; columns and texts are unchanged."""
     spark = session_of(docs)
     model = spark.sparkContext.broadcast(train(docs, labels, text, doc_id, sample))
-    scored = docs.withColumn("_text", F.col(text))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _low double, _toxic double"
-    return scored.mapInArrow(_score(model), out).where((F.col("_low") < REJECT_LOW) & (F.col("_toxic") < REJECT_TOXIC)).select(*docs.columns)
+    own = [f"_k{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(c).alias(k) for k, c in zip(own, docs.columns, strict=True)], F.col(text).alias("_text"))
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", _low double, _toxic double"
+    good = rows.mapInArrow(_score(model), out).where((F.col("_low") < REJECT_LOW) & (F.col("_toxic") < REJECT_TOXIC))
+    return good.select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)])

@@ -172,4 +172,4 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     prints = stored(found.groupBy("_print").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("least")))
     groups = components(links(prints.select(F.col("_print").alias("fp")), radius))
     best = prints.join(groups, F.col("_print") == F.col("node"), "left").groupBy(F.coalesce("component", "_print").alias("c")).agg(F.min("least").alias("least"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(best.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*names)
+    return docs.withColumn("__quern_row", F.monotonically_increasing_id()).join(best.select(F.col("least._row").alias("__quern_row")), "__quern_row", "left_semi").select(*names)
