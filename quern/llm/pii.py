@@ -150,7 +150,7 @@ def _propose(batches):
                     kinds.append(kind)
                     ok.append((kind, s, e) in sure)
                     x.append(features(text, kind, s, e))
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kinds), pa.array(ok, pa.bool_()), pa.array(x, pa.list_(pa.float32()))], names=["h", "kind", "ok", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kinds, pa.string()), pa.array(ok, pa.bool_()), pa.array(x, pa.list_(pa.float32()))], names=["h", "kind", "ok", "x"])
 
 
 def train(docs: DataFrame, text: str, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[gbdt.Trees | None, dict[str, float]]:
