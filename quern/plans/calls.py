@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,12 @@ from .records import ORACLE, QUERIES, query
 from .tables import table
 
 
+def _shared(spark, what: str) -> str:
+    """A new folder under the one that the cluster names for checkpoints; a temporary one where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base}/{what}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"quern-{what}-")
+
+
 def _calls(spark, sf_dir):
     """Events as calls: two packages, two services, the event type as call."""
     e = table(spark, sf_dir, "events")
@@ -198,8 +205,8 @@ def stream_patch_apply(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     source = spark.readStream.schema(e.schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/")
     ops = source.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("field"), F.when(F.col("event_id") % 6 == 0, "").otherwise(F.col("props")).alias("value"))
-    name = f"quern_sync_{abs(hash((sf_dir, id(spark))))}"
-    run = sync.sync(ops).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="quern-stream-")).trigger(availableNow=True).start()
+    name = f"quern_sync_{uuid.uuid4().hex}"
+    run = sync.sync(ops).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
     final = spark.table(name).groupBy("id").agg(F.max_by(F.struct("last", "record"), "last").alias("r")).select("id", "r.*")
     m = F.from_json("record", "map<string,string>")
