@@ -8,13 +8,11 @@ from quern.functions.schema import type_hash
 from quern.operators import anys, arrays, bits, enums, maps
 from quern.sources import binary, compress, framed, json_text, pack, text
 
-from .records import query as _query
-from .records import QUERIES as _R, ORACLE as _O
+from .records import ORACLE, QUERIES, query
 from .tables import LISTS, PRIORITY, SHOP, baskets, customers, orders, table
 
 S = SHOP.structs
-query = _query
-
+__all__ = ["ORACLE", "QUERIES"]
 
 def _quantities(spark, sf_dir):
     return baskets(spark, sf_dir).select(F.col("Orderkey").alias("o_orderkey"), F.transform("Lines", lambda x: x["Quantity"]).alias("q"))
@@ -216,4 +214,13 @@ def framed_files(spark, sf_dir):
     return spark.read.format("quern_records").load(folder).agg(F.count("*").alias("n"), F.countDistinct("record").alias("distinct_records"))
 
 
-QUERIES, ORACLE = _R, _O
+
+@query(f"WITH {LINES} SELECT k AS o_orderkey, count(*) FILTER (n = 2) AS deletes, count(*) FILTER (n = 3) AS sets FROM l GROUP BY 1")
+def map_diff_ops(spark, sf_dir):
+    """Extension: line 2 goes, line 3 changes."""
+    from quern.operators import recording
+
+    m = F.col("m")
+    new = F.transform_values(maps.delete(m, 2), lambda k, v: F.when(k == 3, v + 1).otherwise(v))
+    rows = _line_map(spark, sf_dir).select("o_orderkey", recording.map_diff(m, new).alias("ops"))
+    return rows.select("o_orderkey", *[F.size(F.filter("ops", lambda o: o["type"] == kind)).cast("long").alias(name) for kind, name in ((10, "deletes"), (9, "sets"))])

@@ -305,3 +305,16 @@ def binary_decode_pruned(spark, sf_dir):
 def binary_size_agrees(spark, sf_dir):
     encoded = binary.encode_records(orders(spark, sf_dir), SHOP, "Order", keep=("Orderkey",))
     return encoded.select(F.col("Orderkey").alias("o_orderkey"), binary.record_length("record").alias("stated"), F.octet_length("record").cast("long").alias("actual"))
+
+
+@query("""WITH o AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 2 - 1 AS seq FROM events), d AS (SELECT user_id, 2 * (user_id % 7) AS seen FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0))
+  SELECT o.user_id, count(*) FILTER (seq > coalesce(seen, 0)) + count(*) FILTER (seq + 1 > coalesce(seen, 0)) AS n, CAST(min(CASE WHEN seq > coalesce(seen, 0) THEN seq WHEN seq + 1 > coalesce(seen, 0) THEN seq + 1 END) AS BIGINT) AS first FROM o LEFT JOIN d ON o.user_id = d.user_id GROUP BY 1""")
+def op_log_drain(spark, sf_dir):
+    """Two ops an event, of which even users have drained some."""
+    from quern.operators import recording
+
+    e = table(spark, sf_dir, "events")
+    ops = F.array(diff.op(1, diff.SET, -1, F.col("event_type")), diff.op(2, diff.SET, -1, F.col("props")))
+    log = recording.op_log(e.select("user_id", "event_id", ops.alias("ops")), "user_id", "event_id")
+    drained = e.where("user_id % 2 = 0").select("user_id", (2 * (F.col("user_id") % 7)).cast("long").alias("seq"))
+    return recording.pending(log, "user_id", drained).groupBy("user_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))

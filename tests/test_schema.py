@@ -78,3 +78,20 @@ def test_identity_order_version():
 def test_numbers():
     assert range_of("uint8") == (0, 255) and range_of("int16") == (-32768, 32767) and range_of("float32") is None
     assert Ref("list", item=Ref("uint64")).type_id == 49 and Ref("list", item=Ref("string")).type_id == 53
+
+
+def test_modules(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions.modules import not_imported, parse_module, version_column
+
+    m = parse_module("module a.org/x\nrequire (\n a.org/y v1.2.3 // pinned\n)\nreplace (\n b.org/z => a.org/z\n)\nacls (\n a.org/v/*\n c.org/w\n)\n")
+    assert m.require == {"a.org/y": (1, 2, 3)} and m.resolve("b.org/z") == "a.org/z" and m.resolve("q") == "q"
+    assert m.allows("a.org/v/deep/er") and m.allows("c.org/w") and not m.allows("c.org/w/x") and not m.allows("a.org/v")
+    assert parse_module("acls = public").allows("anyone")
+    for bad in ("require (\n a\n)", "replace (\n a -> b\n)", "acls (\n)", "acls (\n a\n", "what", "acls (\n a/*/b\n)", "require (\n a v1.0.0\n a v1.0.1\n)"):
+        with pytest.raises(SchemaError):
+            parse_module(bad)
+    pins = spark.createDataFrame([("a", "v1.10.0"), ("b", "v1.9.0"), ("c", "x")], "path string, v string")
+    assert [r.path for r in not_imported(pins, pins.where("path <> 'b'")).collect()] == ["b"]
+    assert pins.where("v <> 'x'").orderBy(F.desc(version_column("v"))).first().path == "a" and pins.where(version_column("v").isNull()).count() == 1
