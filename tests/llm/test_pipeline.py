@@ -38,7 +38,7 @@ def test_one_of_each_group_stays(spark, data, steps):
     from quern.llm.simhash import fingerprint
 
     prints = [fingerprint(r.text.encode(), 3) & (2**64 - 1) for r in steps[1].collect()]
-    assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
+    assert all((a ^ b).bit_count() > corpus_pipeline.NEAR_BITS for i, a in enumerate(prints) for b in prints[:i])
 
 
 def test_no_personal_data_is_left(steps):
