@@ -23,6 +23,11 @@ from quern.llm.quality import keep_good
 from quern.llm.simhash import simhash_dedup
 
 
+#: Fingerprint bits in which near-duplicates may differ here.  Copies of a five-word similarity of 0.8 differ in 2 to 11
+#: bits; up to 4, nearly all linked texts are edited copies of each other.
+NEAR_BITS = 4
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """``docs`` with n_chars of the texts as they are now."""
     return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
@@ -33,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup(docs)
+    return simhash_dedup(docs, radius=NEAR_BITS)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
