@@ -217,7 +217,7 @@ def _by_suffix_arrays(contexts: DataFrame, n: int) -> DataFrame:
 
 def _by_extension(windows: DataFrame) -> DataFrame:
     """(row, s): word windows of single contexts that another distinct context holds too."""
-    twice = windows.groupBy("left", "right").agg(F.count("*").alias("m")).where("m > 1")
+    twice = stored(windows.groupBy("left", "right").agg(F.count("*").alias("m")).where("m > 1").select("left", "right"))
     return windows.where("single").join(twice, ["left", "right"]).select("row", "s")
 
 
@@ -227,7 +227,9 @@ def remove_repeats(docs: DataFrame, text: str, doc_id: str, unit: str, n: int, k
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     found = stored(rows.select("row", "text").mapInArrow(_runs(unit, n, k), "row long, s int, e int, a int, g long, c long"))
     grams = found.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1")
-    again = stored(found.join(grams.select("g", (F.col("low") != F.col("high")).alias("mixed")), "g"))
+    # stored, so that both sides of the join are plain exchanges whose skewed partitions can be split
+    grams = stored(grams.select("g", (F.col("low") != F.col("high")).alias("mixed")))
+    again = stored(found.join(grams, "g"))
     mixed = again.where("mixed")
     distinct = mixed.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("row", "s", "e", "a")).alias("one"))
     distinct = stored(distinct)
