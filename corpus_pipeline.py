@@ -3,7 +3,8 @@
 Every stage but the last returns the columns of ``documents``:
 
 * quality: rows that the classifier rejects as low quality or toxic go;
-* near_duplicates: of each SimHash group the row of the smallest doc_id stays;
+* near_duplicates: of each group of five-word similarity 0.8 or more the row of
+  the smallest doc_id stays;
 * decontaminate: rows that hit two benchmark items or more go, others lose the
   words they hit;
 * personal_data: spans are replaced by their kind in brackets;
@@ -20,12 +21,7 @@ from quern.llm.decontaminate import decontaminate
 from quern.llm.mixing import mixed
 from quern.llm.pii import redact_pii
 from quern.llm.quality import keep_good
-from quern.llm.simhash import simhash_dedup
-
-
-#: Fingerprint bits in which near-duplicates may differ here.  Copies of a five-word similarity of 0.8 differ in 2 to 11
-#: bits; up to 4, nearly all linked texts are edited copies of each other.
-NEAR_BITS = 4
+from quern.llm.similar import similar_dedup
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -38,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup(docs, radius=NEAR_BITS)
+    return similar_dedup(docs)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

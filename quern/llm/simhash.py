@@ -26,19 +26,24 @@ PARTS = (3, 4, 5)
 HOT = 500
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Bits set in over half of the shingles' XXH64; repeats count; no words: zero."""
-    words = (text or b"").lower().split()
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """XXH64 of each run of ``shingle`` words; fewer words are one run, no words none."""
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        start = np.r_[0, end[:-1] + 1]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.r_[0, end[:-1] + 1]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(start[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """Bits set in over half of the shingles' XXH64; repeats count; no words: zero."""
+    hashes = shingle_hashes((text or b"").lower().split(), shingle)
+    if not hashes:
+        return 0
     h = np.array(hashes, np.uint64)
     count = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
