@@ -5,8 +5,8 @@ Every stage but the last returns the columns of ``documents``:
 * quality: rows that the classifier rejects as low quality or toxic go;
 * near_duplicates: of each group of five-word similarity 0.8 or more the row of
   the smallest doc_id stays;
-* decontaminate: rows that hit two benchmark items or more go, others lose the
-  words they hit;
+* decontaminate: rows that hit two benchmark items or more, short ones included,
+  go, others lose the words they hit;
 * personal_data: spans are replaced by their kind in brackets;
 * mix: rows that the mix takes, with mix_size, mix_taken and mix_copies.
 """
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return _measured(decontaminate(docs, table(spark, sf_dir, "benchmark"), short_items=True))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,15 +141,15 @@ def _cut(which: int):
     return cut
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = 8, drop_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = 8, drop_items: int = 2, short_items: bool = False) -> DataFrame:
     """``docs`` without rows that hit ``drop_items`` items or more; the others lose the spans they hit.
 
     Same columns and types as ``docs``; texts without a hit are unchanged.
-    Items of fewer than ``n`` words are left out here: such a phrase alone does
-    not show a leak.
+    With ``short_items``, items of fewer than ``n`` words, but not none, are one
+    window each, as in ``benchmark_hits``; else they are left out.
     """
-    long_items = benchmark.where(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")) >= n)
-    hits = _hits(docs, long_items, text, "item_id", "text", n, tuple(docs.columns), BLOCK_BYTES).where(F.size("_items") < drop_items)
+    items = benchmark if short_items else benchmark.where(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")) >= n)
+    hits = _hits(docs, items, text, "item_id", "text", n, tuple(docs.columns), BLOCK_BYTES).where(F.size("_items") < drop_items)
     own = [f"_k{i}" for i in range(len(docs.columns))]
     rows = hits.select(*own, "_text", "_spans")
     cut = rows.mapInArrow(_cut(docs.columns.index(text)), rows.select(*own).schema)
