@@ -20,7 +20,7 @@ from .common import components, session_of, stored
 
 #: Fingerprints that the driver samples to plan the search.
 SAMPLE = 3000
-#: Parts that the planner may cut the bits into.
+#: Parts that the planner may cut the bits into; wide radii need more.
 PARTS = (3, 4, 5)
 #: Distinct fingerprints in a bucket beyond which its other bits divide it again.
 HOT = 500
@@ -61,7 +61,9 @@ def _fingerprints(shingle: int):
 
 
 def plan(sample: np.ndarray, radius: int, total: int) -> list[tuple[int, int]]:
-    """[(mask, threshold)] of the parts to probe."""
+    """[(mask, threshold)] of the parts to probe: at most one bit a part, so wide radii take more parts."""
+    if not 0 <= radius < 64:
+        raise ValueError(f"no plan for fingerprints that differ in {radius} of 64 bits")
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float) if len(sample) else np.zeros((0, 64))
     varied = bits.std(0) > 0 if len(bits) > 1 else np.zeros(64, bool)
     alike = np.zeros((64, 64))
@@ -71,7 +73,7 @@ def plan(sample: np.ndarray, radius: int, total: int) -> list[tuple[int, int]]:
     a, b = np.triu_indices(len(sample), 1)
     apart = (sample.view(np.uint64)[a] ^ sample.view(np.uint64)[b]) if len(a) else np.zeros(1, np.uint64) + np.uint64(2**64 - 1)
     best: tuple[float, list] = (np.inf, [])
-    for m in PARTS:
+    for m in PARTS if radius < 2 * max(PARTS) else sorted({radius // 2 + 1, radius + 1}):
         left, groups = set(range(64)), []
         for k in range(m):
             width = (64 - sum(map(len, groups))) // (m - k)
@@ -100,6 +102,8 @@ def plan(sample: np.ndarray, radius: int, total: int) -> list[tuple[int, int]]:
             state = nxt
         if radius + 1 in state and state[radius + 1][0] < best[0]:
             best = (state[radius + 1][0], [(mask, t) for mask, t in zip(masks, state[radius + 1][1], strict=True) if t >= 0])
+    if not best[1]:
+        raise ValueError(f"no plan for radius {radius}")
     return best[1]
 
 
@@ -113,11 +117,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     Buckets of over HOT fingerprints are divided again by the same principle on
     the bits outside the part, so no bucket's pairs are all compared.
     """
-    spark = prints.sparkSession
     sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     parts = plan(sample, radius, prints.count())
-    if not parts:
-        return spark.createDataFrame([], "u long, v long")
     keys, probes = [], []
     for i, (mask, threshold) in enumerate(parts):
         key = F.col("fp").bitwiseAND(F.lit(signed(mask)))
