@@ -38,6 +38,8 @@ _MORE = (
     ("ip", re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])")),
     ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(] ?at ?[\])] ?| at |@)[A-Za-z0-9-]{1,63}(?:(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}){1,4}")),
 )
+#: What every match of the e-mail generator holds after its local part.
+_ADDRESS = re.compile(r"(?:[\[(] ?at ?[\])] ?| at |@)[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?| dot |\.)[A-Za-z0-9-]{2,63}")
 _HINT = {k: frozenset(v.split()) for k, v in {"email": "mail email e-mail contact write", "ip": "ip host server address client", "card": "card visa credit debit account", "phone": "call phone tel mobile fax dial"}.items()}
 
 
@@ -109,7 +111,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     digits = any(c in text for c in "0123456789")
     for kind, pattern in _MORE:
         if kind == "email":
-            if "@" in text or " at " in text and " dot " in text or "(at)" in text or "[at]" in text:
+            if ("@" in text or "at" in text) and _ADDRESS.search(text):
                 found.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
         elif digits:
             found.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
