@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, stored
+from .common import session_of, small, stored
 
-#: Documents that fit the scorer, labelled rows that one labeller may look up, hashed features.
+#: Documents that fit the scorer, hashed features.
 SAMPLE = 8_000
-LABELLED = 20_000
 FEATURES = 1 << 16
 #: Scores from which a document is rejected; to miss a toxic one costs more than to lose a clean one.
 REJECT_LOW = 0.5
@@ -58,7 +57,7 @@ def shape(text: str) -> dict[str, float]:
     }
 
 
-def quality_votes(s: dict[str, float], label: int | None) -> list[int]:
+def quality_votes(s: dict[str, float], label: int | None = None) -> list[int]:
     """Each labeller knows one kind of junk and is silent on all others; one knows ordinary prose."""
     some = s["n"] >= 8
     prose = s["marks"] < 0.1 and s["short"] < 0.05 and s["upper"] < 0.2 and s["lines"] < 0.3 and (not some or s["top"] < 0.2) and (s["n"] < 20 or s["distinct"] > 0.5)
@@ -75,7 +74,7 @@ def quality_votes(s: dict[str, float], label: int | None) -> list[int]:
     ]
 
 
-def toxic_votes(words: list[str], label: int | None) -> list[int]:
+def toxic_votes(words: list[str], label: int | None = None) -> list[int]:
     hits = sum(w in INSULTS for w in words)
     return [
         BAD if hits else GOOD,
@@ -119,20 +118,20 @@ def hashed(text: str, words: list[str], s: dict[str, float]) -> list[int]:
     return sorted(found)
 
 
-def _scan(threshold: int | None, quality: dict, toxic: dict):
-    """Vote patterns of every document; hashed features of the sampled ones (h below ``threshold``)."""
+def _scan(threshold: int | None):
+    """Vote patterns of every document before its labels are known; hashed features of the sampled ones (h below ``threshold``)."""
 
     def scan(batches):
         for batch in batches:
             q, t, x = [], [], []
-            for doc, h, text in zip(batch["id"].to_pylist(), batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 text = text or ""
                 words = _WORD.findall(text.lower())
                 s = shape(text)
-                q.append("".join(map(str, quality_votes(s, quality.get(doc)))))
-                t.append("".join(map(str, toxic_votes(words, toxic.get(doc)))))
+                q.append("".join(map(str, quality_votes(s))))
+                t.append("".join(map(str, toxic_votes(words))))
                 x.append(hashed(text, words, s) if threshold is None or h < threshold else None)
-            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(q, pa.string()), pa.array(t, pa.string()), pa.array(x, pa.list_(pa.int32()))], names=["h", "q", "t", "x"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(q, pa.string()), pa.array(t, pa.string()), pa.array(x, pa.list_(pa.int32()))], names=["id", "h", "q", "t", "x"])
 
     return scan
 
@@ -166,20 +165,26 @@ def fit_linear(x: list[np.ndarray], y: np.ndarray, rounds: int = 120, rate: floa
 Model = tuple[np.ndarray, float, np.ndarray, float] | None
 
 
+def _labelled(seen: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``seen`` with the vote of every label in place of the last, silent labeller; of several labels the largest."""
+    if labels is None:
+        return seen.select("h", "q", "t", "x")
+    own = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
+    own = stored(own)
+    vote = lambda votes, label, one, other: F.concat(F.expr(f"left({votes}, length({votes}) - 1)"), F.when(F.col(label).isNull(), str(NONE)).when(F.col(label) == 1, str(one)).otherwise(str(other)))
+    return seen.join(small(own, own.count()), F.col("id") == F.col("_doc"), "left").select("h", vote("q", "_quality", GOOD, BAD).alias("q"), vote("t", "_toxic", BAD, GOOD).alias("t"), "x")
+
+
 def train(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str, sample: int = SAMPLE) -> Model:
-    spark = session_of(docs)
-    quality, toxic = {}, {}
-    if labels is not None:
-        for r in labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(LABELLED).collect():
-            quality |= {r.doc_id: r.quality} if r.quality is not None else {}
-            toxic |= {r.doc_id: r.toxic} if r.toxic is not None else {}
+    session_of(docs)
     total = docs.count()
     if not total:
         return None
     # a share of all hashes: about ``sample`` documents wherever they lie
     threshold = None if total <= sample else int(2**63 * sample / total)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).bitwiseAND(F.lit(2**63 - 1)).alias("h"), F.col(text).alias("text"))
-    seen = stored(rows.mapInArrow(_scan(threshold, quality, toxic), "h long, q string, t string, x array<int>"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    seen = stored(_labelled(rows.mapInArrow(_scan(threshold), f"id {kind}, h long, q string, t string, x array<int>"), labels))
     posterior = {}
     for column, rate in (("q", 0.15), ("t", 0.05)):
         counts = seen.groupBy(column).count().orderBy(column).toPandas()
@@ -217,7 +222,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, text: str = "text
     """The columns ``keep`` of every row with p_low, p_toxic (scores of low quality and toxicity) and kept.
 
     ``labels`` (doc_id, quality, toxic) is one more labeller of unknown
-    accuracy, over a bounded sample of its rows.  Null and empty texts are
+    accuracy, and all its rows vote.  Null and empty texts are
     judged by their shape like any other; repeated rows are rows of their own;
     an empty table gives no rows; other columns are ignored.
     """
