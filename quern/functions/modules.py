@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from .schema import SchemaError, version
 
 @dataclass
 class Module:
-    require: dict[str, tuple[int, int, int]] = field(default_factory=dict)
+    #: a version (three numbers) or a commit id by path
+    require: dict[str, tuple[int, int, int] | str] = field(default_factory=dict)
     replace: dict[str, str] = field(default_factory=dict)
     acls: list[str] = field(default_factory=list)
     public: bool = False
@@ -42,7 +44,8 @@ def parse_module(text: str) -> Module:
             elif block == "require" and len(words) == 2:
                 if words[0] in out.require:
                     raise SchemaError(f"{where}: {words[0]} is required twice")
-                out.require[words[0]] = version(words[1])
+                # what does not hold a version is a commit id
+                out.require[words[0]] = version(words[1]) if re.search(r"v\d+\.\d+\.\d+", words[1]) else words[1]
             elif block == "replace" and len(words) == 3 and words[1] == "=>":
                 if words[0] in out.replace:
                     raise SchemaError(f"{where}: {words[0]} is replaced twice")

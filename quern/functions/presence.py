@@ -111,6 +111,18 @@ def record_size(record: Column, struct: Struct, structs: dict, with_presence_bit
     return total + (-(-max(1, -(-len(struct.fields) // 7)) // 8) * 8 if with_presence_bits else 0)
 
 
+def field_place(record: Column, struct: Struct, structs: dict, name: str) -> Column:
+    """struct(offset, size): where a field lies in its encoded record, (0, 0) if it is absent."""
+    offset, size = F.lit(8).cast("long"), None
+    for f in struct.fields:
+        own = field_size(record[f.name], f.ref, structs)
+        if f.name == name:
+            size = own
+            break
+        offset = offset + own
+    return F.struct(F.when(size > 0, offset).otherwise(0).cast("long").alias("offset"), size.alias("size"))
+
+
 def header(num: Column, type_id: Column, payload: Column) -> Column:
     """The 8 header bytes as hex: field number (16 bits), type (8), payload (40), little-endian."""
     word = F.hex(F.shiftleft(payload.cast("long"), 24).bitwiseOR(F.shiftleft(type_id.cast("long"), 16)).bitwiseOR(num.cast("long")))

@@ -123,6 +123,12 @@ def lowest_priority(targets: DataFrame, group: str, priority: str) -> DataFrame:
     return targets.join(least, group).where(F.col(priority) == F.col("_least")).drop("_least")
 
 
+def pick_first(calls: DataFrame, targets: DataFrame, group: str, target: str, order: str) -> DataFrame:
+    """Each call with the first target of its group's list (by ``order``) and ``error``, which says that the list is empty."""
+    first = targets.groupBy(group).agg(F.min_by(target, order).alias(target))
+    return calls.join(_rules(first), group, "left").withColumn("error", F.when(F.col(target).isNull(), "no ready connection").otherwise(""))
+
+
 def lcg_pick(seed: Column, n: Column) -> Column:
     """(a x seed + c) modulo 2^64, modulo n; exact in decimals for seeds below 10^19."""
     x = F.pmod(seed.cast("decimal(38,0)") * F.lit(LCG_A).cast("decimal(19,0)") + F.lit(LCG_C).cast("decimal(19,0)"), F.lit(str(1 << 64)).cast("decimal(20,0)"))
@@ -146,6 +152,22 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def authorize(calls: DataFrame, ip: Column, token: Column, networks: list[str], validator: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``calls`` with ``denied``: why a caller may not look, "" if it may.
+
+    No networks let every address pass; without a validator no token is asked
+    for.  ``validator`` makes a boolean column of a token; null fails.
+    """
+    address = in_networks(ip, networks) if networks else F.lit(True)
+    known = F.coalesce(validator(token), F.lit(False)) if validator else F.lit(True)
+    return calls.withColumn("denied", F.when(~address, "address").when(~known, "token").otherwise(""))
+
+
+def token_in(digests: list[str]) -> Callable[[Column], Column]:
+    """A validator of tokens whose SHA-256 (hex) is listed; tokens themselves are not kept."""
+    return lambda token: F.sha2(token, 256).isin(digests)
+
+
 def should_trace(ip: Column, method: Column, metadata: Column, networks: list[str], methods: list[str], wanted: dict[str, str]) -> Column:
     """Address in a range, method equal or ending in /name, or metadata key with the value (* is any)."""
     by_method = F.lit(False)

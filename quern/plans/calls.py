@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from quern.operators import routing
+from quern.operators import resolving, routing
+from quern.shipping import new_folder
+from quern.sources import compress
 from quern.streaming import frames, sync
 
 from .records import ORACLE, QUERIES, query
 from .tables import table
 
 
-def _shared(spark, what: str) -> str:
-    """A new folder under the one that the cluster names for checkpoints; a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{what}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"quern-{what}-")
-
-
 def _calls(spark, sf_dir):
     """Events as calls: two packages, two services, the event type as call."""
     e = table(spark, sf_dir, "events")
@@ -205,13 +198,93 @@ def stream_patch_apply(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     source = spark.readStream.schema(e.schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/")
     ops = source.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("event_type").alias("field"), F.when(F.col("event_id") % 6 == 0, "").otherwise(F.col("props")).alias("value"))
-    name = f"quern_sync_{uuid.uuid4().hex}"
-    run = sync.sync(ops).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", _shared(spark, "stream")).trigger(availableNow=True).start()
+    folder = new_folder(spark, "stream")
+
+    def keep(batch, number):
+        # a batch that is run again after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{folder}/records/batch={number}")
+
+    run = sync.sync(ops).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    final = spark.table(name).groupBy("id").agg(F.max_by(F.struct("last", "record"), "last").alias("r")).select("id", "r.*")
+    final = spark.read.parquet(f"{folder}/records").groupBy("id").agg(F.max_by(F.struct("last", "record"), "last").alias("r")).select("id", "r.*")
     m = F.from_json("record", "map<string,string>")
     pairs = F.array_sort(F.transform(F.map_entries(m), lambda x: F.concat_ws("=", x["key"], x["value"])))
     return final.select("id", "last", F.size(m).cast("long").alias("fields"), F.array_join(pairs, ";").alias("record"))
 
 
+@query("""WITH t AS (SELECT s_nationkey AS g, min(s_suppkey) FILTER (s_suppkey % 3 <> 0) AS s_suppkey FROM supplier GROUP BY 1)
+  SELECT o_orderkey, s_suppkey, CASE WHEN s_suppkey IS NULL THEN 'no ready connection' ELSE '' END AS error FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN t ON g = c_nationkey""")
+def balance_pick_first(spark, sf_dir):
+    calls = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("g")), F.col("o_custkey") == F.col("c_custkey"))
+    targets = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, "CONNECTING").otherwise("READY").alias("state"), F.lit(True).alias("healthy"))
+    return routing.pick_first(calls.select("o_orderkey", "g"), routing.ready(targets), "g", "s_suppkey", "s_suppkey").select("o_orderkey", "s_suppkey", "error")
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 9 AS k, 'host' || (page_id % 40) AS h FROM pages), ips AS (SELECT 'host' || (s_suppkey % 30) AS host, '10.0.' || (s_suppkey // 250) || '.' || (s_suppkey % 250) AS ip, s_suppkey FROM supplier)
+  SELECT page_id, addr, CAST(priority AS INTEGER) AS priority, CAST(weight AS INTEGER) AS weight, error FROM (SELECT page_id, h || ':9' AS addr, 0 AS priority, 0 AS weight, '' AS error FROM p WHERE k = 0
+  UNION ALL SELECT page_id, ip || ':443', 0, 0, '' FROM p JOIN ips ON host = h WHERE k = 1 AND page_id % 2 = 0
+  UNION ALL SELECT page_id, ip || ':80', 0, 0, '' FROM p JOIN ips ON host = h WHERE k = 2
+  UNION ALL SELECT page_id, CASE WHEN k = 3 THEN '10.1.2.3:443' ELSE '[fe80::1]:8' END, 0, 0, '' FROM p WHERE k IN (3, 4)
+  UNION ALL SELECT page_id, 'svc' || s_suppkey || '.local:' || (5000 + s_suppkey % 7), s_suppkey % 3, s_suppkey % 5, '' FROM p JOIN supplier ON 'svc.' || (s_suppkey % 4) = 'svc.' || (page_id % 4) WHERE k = 5 AND s_suppkey <= 8
+  UNION ALL SELECT page_id, NULL, NULL, NULL, CASE k WHEN 6 THEN 'unknown scheme tcp' WHEN 7 THEN 'missing endpoint after authority' ELSE 'no addresses' END FROM p
+    WHERE k IN (6, 7, 8) OR (k = 1 AND page_id % 2 <> 0) OR (k = 2 AND NOT EXISTS (SELECT 1 FROM ips WHERE host = h)) OR (k = 1 AND page_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ips WHERE host = h)))""")
+def resolve_targets(spark, sf_dir):
+    """Passed through, looked up with and without port, addresses themselves, service records, and what finds nothing."""
+    page, k = F.col("page_id"), F.col("page_id") % 9
+    host = F.concat(F.lit("host"), (page % 40).cast("string"))
+    forms = {0: F.concat(host, F.lit(":9")), 1: F.concat(F.lit("dns:///"), F.when(page % 2 == 0, host).otherwise("gone")), 2: F.concat(F.lit("DNS:///"), host, F.lit(":80")), 3: F.lit("dns:///10.1.2.3"), 4: F.lit("dns:///[fe80::1]:8"), 5: F.concat(F.lit("dns:///svc."), (page % 4).cast("string")), 6: F.lit("tcp://x/y"), 7: F.lit("dns://x"), 8: F.lit("dns:///nowhere:1")}
+    target = F.lit(None).cast("string")
+    for n, form in forms.items():
+        target = F.when(k == n, form).otherwise(target)
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey")
+    hosts = s.select(F.concat(F.lit("host"), (key % 30).cast("string")).alias("host"), F.format_string("10.0.%d.%d", F.floor(key / 250), key % 250).alias("ip"))
+    services = s.where("s_suppkey <= 8").select(F.lit("grpc").alias("service"), F.lit("tcp").alias("proto"), F.concat(F.lit("svc."), (key % 4).cast("string")).alias("name"), F.format_string("svc%d.local.", key).alias("target"), (key % 7 + 5000).alias("port"), (key % 3).alias("priority"), (key % 5).alias("weight"))
+    known = resolving.Registry()
+    known.register("dns", resolving.dns(hosts))
+    known.register("dns", resolving.dns(hosts, services, "grpc", "tcp"))
+    return known.resolve(table(spark, sf_dir, "pages").select("page_id", target.alias("t")), "t").select("page_id", "addr", "priority", "weight", "error")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 256 >= 32 THEN 'address' WHEN user_id % 3 <> 0 THEN 'token' ELSE '' END AS denied, CASE WHEN user_id % 3 <> 0 THEN 'token' ELSE '' END AS anywhere, '' AS open FROM events")
+def authorize_calls(spark, sf_dir):
+    import hashlib
+
+    k = F.col("event_id")
+    ip = F.concat(F.lit("10.1.2."), (k % 256).cast("string"))
+    token = F.when(F.col("user_id") % 3 == 0, "open sesame").when(F.col("user_id") % 3 == 1, "guess")
+    asked = routing.token_in([hashlib.sha256(x).hexdigest() for x in (b"open sesame", b"retired")])
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    for name, networks, validator in (("first", ["10.1.2.0/27"], asked), ("anywhere", [], asked), ("open", [], None)):
+        rows = routing.authorize(rows, ip, token, networks, validator).withColumnRenamed("denied", name)
+    return rows.select("event_id", F.col("first").alias("denied"), "anywhere", "open")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN strlen(text) > 2000 THEN 'oversize' WHEN (conv_id + turn) % 7 = 0 THEN 'undecodable' WHEN (conv_id + turn) % 7 = 1 THEN 'unknown codec' ELSE '' END AS dropped,
+  CASE WHEN strlen(text) <= 2000 AND (conv_id + turn) % 7 > 1 THEN text END AS body FROM conversations""")
+def dead_letters(spark, sf_dir):
+    """Compressed frames, of which some are damaged, of a codec that nobody knows, or too large."""
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    text = F.col("text").cast("binary")
+    rows = table(spark, sf_dir, "conversations").withColumn("codec", F.when(k == 1, "lzma").when(k % 2 == 0, "gzip").otherwise("zstd"))
+    packed = F.when(F.octet_length("text") > 2000, text).when(k == 0, F.lit(b"no gzip")).when(k == 1, text).when(k % 2 == 0, compress.compressed(text, "gzip")).otherwise(compress.compressed(text, "zstd"))
+    return frames.delivered(rows.withColumn("payload", packed), ["gzip", "zstd"], limit=2000).select("conv_id", "turn", "dropped", F.col("body").cast("string").alias("body"))
+
+
+@query("SELECT event_id, '(' || '[' || event_type || ']' || ')' AS name, CASE WHEN value > 100 THEN 'late' ELSE 'fine' END AS mark FROM events WHERE user_id % 2 = 0")
+def interceptor_chain(spark, sf_dir):
+    """The first interceptor acts last: brackets, then the mark, then what the filter leaves is wrapped."""
+
+    def wrap(df):
+        return df.withColumn("name", F.concat(F.lit("("), F.col("name"), F.lit(")")))
+
+    def even(df):
+        return df.where("user_id % 2 = 0").withColumn("mark", F.when(F.col("value") > 100, "late").otherwise("fine"))
+
+    def bracket(df):
+        return df.withColumn("name", F.concat(F.lit("["), F.col("event_type"), F.lit("]")))
+
+    return routing.chain(table(spark, sf_dir, "events"), wrap, even, bracket).select("event_id", "name", "mark")
+
+
 __all__ = ["ORACLE", "QUERIES"]

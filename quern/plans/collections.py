@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.schema import type_hash
+from quern.functions import presence
+from quern.functions.schema import Struct, parse, type_hash
 from quern.operators import anys, arrays, bits, enums, maps
+from quern.shipping import new_folder
 from quern.sources import binary, compress, framed, json_text, pack, text
 
 from .records import ORACLE, QUERIES, query
@@ -193,22 +195,97 @@ def compress_roundtrip(spark, sf_dir):
     return out
 
 
-@query("""SELECT * FROM (VALUES ('Region', 0, 'Regionkey', 4, false), ('Region', 1, 'Name', 12, false), ('Basket', 0, 'Orderkey', 5, false), ('Basket', 1, 'Status', 12, false), ('Basket', 2, 'Lines', 54, false), ('Amounts', 0, 'Orderkey', 5, false), ('Amounts', 1, 'Quantities', 51, false)) AS t(struct, field_num, field_name, type_id, is_enum)""")
+@query("""SELECT struct, CAST(row_number() OVER (PARTITION BY struct ORDER BY place) - 1 AS INTEGER) AS field_num, field_name, CAST(type_id AS INTEGER) AS type_id, false AS is_enum FROM (SELECT struct, unnest(range(0, len(fields))) AS place, unnest(fields) AS field_name, unnest(types) AS type_id FROM (VALUES
+  ('Line', ['Linenumber', 'Partkey', 'Suppkey', 'Quantity', 'Price'], [4, 5, 5, 11, 11]), ('Nation', ['Nationkey', 'Name', 'Regionkey'], [4, 12, 4]), ('Region', ['Regionkey', 'Name'], [4, 12]),
+  ('Order', ['Orderkey', 'Custkey', 'Status', 'Totalprice', 'Priority'], [5, 5, 12, 11, 12]), ('Basket', ['Orderkey', 'Status', 'Lines'], [5, 12, 54]), ('Amounts', ['Orderkey', 'Quantities'], [5, 51]),
+  ('Customer', ['Custkey', 'Name', 'Nationkey', 'Acctbal', 'Mktsegment'], [5, 12, 4, 11, 12]), ('Resident', ['Custkey', 'Name', 'Home'], [5, 12, 14]), ('Turn', ['Conv', 'Turn', 'Role', 'Text'], [5, 5, 12, 12]),
+  ('Words', ['Doc', 'Words', 'Lengths', 'Flags'], [5, 53, 44, 41])) AS t(struct, fields, types))""")
 def schema_catalog(spark, sf_dir):
-    return SHOP.catalog(spark).where(F.col("struct").isin("Region", "Basket", "Amounts")).select("struct", "field_num", "field_name", "type_id", "is_enum")
+    return SHOP.catalog(spark).select("struct", "field_num", "field_name", "type_id", "is_enum")
+
+
+#: Orders as tickets with an enum and bytes.
+DESK = parse("""package desk
+enum Level uint16 {
+ Open @0
+ Urgent @1
+ High @2
+ Medium @3
+ Low @500
+}
+struct Ticket {
+ Id int64 @0
+ Level Level @1
+ Seal bytes @2
+ Past []Level @3
+}
+""")
+_LEVEL = "CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '5-LOW' THEN 500 ELSE 0 END"
+_NAME = "CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low' ELSE 'Open' END"
+
+
+def _tickets(spark, sf_dir):
+    p, level = F.col("Priority"), F.lit(0)
+    for name, number in (("1-URGENT", 1), ("2-HIGH", 2), ("3-MEDIUM", 3), ("5-LOW", 500)):
+        level = F.when(p == name, number).otherwise(level)
+    past = F.when(F.col("Orderkey") % 2 == 0, F.array(F.lit(500), level)).otherwise(F.array().cast("array<int>"))
+    ticket = F.struct(F.col("Orderkey").alias("Id"), level.alias("Level"), F.col("Status").cast("binary").alias("Seal"), past.alias("Past"))
+    return orders(spark, sf_dir).select(F.col("Orderkey").alias("o_orderkey"), ticket.alias("r"))
+
+
+@query(f"""SELECT o_orderkey, '{{"Id":' || o_orderkey || ',"Level":"' || {_NAME} || '","Seal":"' || base64(encode(o_orderstatus)) || '","Past":' || CASE WHEN o_orderkey % 2 = 0 THEN '["Low","' || {_NAME} || '"]' ELSE 'null' END || '}}' AS named,
+  '{{"Id":' || o_orderkey || ',"Level":' || {_LEVEL} || ',"Seal":"' || base64(encode(o_orderstatus)) || '","Past":' || CASE WHEN o_orderkey % 2 = 0 THEN '[500,' || {_LEVEL} || ']' ELSE 'null' END || '}}' AS numbered, CAST({_LEVEL} AS INTEGER) AS back FROM orders""")
+def json_enum_numbers(spark, sf_dir):
+    """Enums by name and by number, and read again from either form, beside a field that is not known."""
+    t, known = DESK.structs["Ticket"], (DESK.structs, DESK.enums)
+    rows = _tickets(spark, sf_dir).select("o_orderkey", json_text.to_json(F.col("r"), t, *known).alias("named"), json_text.to_json(F.col("r"), t, *known, True).alias("numbered"))
+    more = F.concat(F.lit('{"Colour":1,'), F.substring(F.when(F.col("o_orderkey") % 3 == 0, F.col("named")).otherwise(F.col("numbered")), 2, 1 << 20))
+    flat = Struct("Flat", t.fields[:2])
+    return rows.select("*", json_text.from_json(more, flat, *known, ignore_unknown=True)["Level"].cast("int").alias("back"))
+
+
+@query(f"""SELECT o_orderkey, 'Id: ' || o_orderkey || ',' || chr(10) || 'Level: ' || {_LEVEL} || ',' || chr(10) || 'Seal: 0x' || lower(hex(encode(o_orderstatus))) || ',' || chr(10) || 'Past: ' || CASE WHEN o_orderkey % 2 = 0 THEN '[500, ' || {_LEVEL} || ']' ELSE 'null' END || ',' || chr(10) AS text FROM orders""")
+def text_numbers_and_hex(spark, sf_dir):
+    return _tickets(spark, sf_dir).select("o_orderkey", text.to_text(F.col("r"), "Ticket", DESK, True, True).alias("text"))
+
+
+#: Fields whose sizes depend on each value.
+MIXED = parse("package mixed\noptions [ IsSet() ]\nstruct Mixed {\n Lines map[int32]float64 @0\n Notes map[string]string @1\n One Any @2\n Many []Any @3\n}\n")
+
+
+@query(f"""WITH {LINES}, s AS (SELECT k, count(*) AS n, CAST(sum(CASE WHEN n <= 9 THEN 1 ELSE 2 END) AS BIGINT) AS digits FROM l GROUP BY 1), z AS (SELECT k, 8 + 8 + (12 * n + 7) // 8 * 8 + 8 + (9 * n + digits + 7) // 8 * 8 + CASE WHEN k % 3 = 0 THEN 0 ELSE 24 + strlen(k::VARCHAR) END + CASE WHEN k % 2 = 0 THEN 0 ELSE 8 + 32 + 1 END AS b FROM s)
+  SELECT k AS o_orderkey, CAST(b AS BIGINT) AS bytes, CAST(b + 8 AS BIGINT) AS bytes_with_bits, CAST(b AS BIGINT) AS actual FROM z""")
+def encoded_size_composites(spark, sf_dir):
+    """Maps, Any and lists of Any; the stated size is that of the encoded record."""
+    k = F.col("o_orderkey")
+    one = F.when(k % 3 != 0, anys.pack(KINDS["Order"], k.cast("string").cast("binary")))
+    many = F.when(k % 2 != 0, F.array(anys.pack(KINDS["Order"], F.lit(b"")), anys.pack(KINDS["Part"], F.lit(b"x"))))
+    notes = F.map_from_entries(F.transform(F.map_keys("m"), lambda x: F.struct(x.cast("string").alias("key"), F.lit("z").alias("value"))))
+    rows = _line_map(spark, sf_dir).select("o_orderkey", F.transform_keys("m", lambda x, _: x.cast("int")).alias("Lines"), notes.alias("Notes"), one.alias("One"), many.alias("Many"))
+    r, s = F.struct("Lines", "Notes", "One", "Many"), MIXED.structs
+    sized = rows.select("*", presence.record_size(r, s["Mixed"], s).alias("bytes"), presence.record_size(r, s["Mixed"], s, True).alias("bytes_with_bits"))
+    made = binary.encode_records(sized, MIXED, "Mixed", keep=("o_orderkey", "bytes", "bytes_with_bits"))
+    return made.select("o_orderkey", "bytes", "bytes_with_bits", F.octet_length("record").cast("long").alias("actual"))
+
+
+@query("""SELECT s_suppkey, CAST(2 + (s_suppkey % 2) AS INTEGER) AS n, 'Order' AS first, CASE WHEN s_suppkey % 2 = 1 THEN 'Part' ELSE '' END AS third, CAST(s_suppkey AS VARCHAR) AS second, CASE WHEN s_suppkey % 2 = 1 THEN '' ELSE 'not set' END AS third_error, 'type mismatch' AS first_error, 'not set' AS before_error FROM supplier""")
+def any_list_items(spark, sf_dir):
+    key = F.col("s_suppkey").cast("string").cast("binary")
+    pair = anys.list_set(anys.pack(KINDS["Order"], F.lit(b"o")), anys.pack(KINDS["Customer"], key))
+    v = F.when(F.col("s_suppkey") % 2 == 1, F.concat(pair, anys.list_set(anys.pack(KINDS["Part"], key)))).otherwise(pair)
+    names = {d: n for n, d in KINDS.items()}
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", v.alias("v"))
+    v = F.col("v")
+    return rows.select(
+        "s_suppkey", anys.list_length(v).alias("n"), anys.type_of(anys.list_get_raw(v, 0), names).alias("first"), anys.type_of(anys.list_get_raw(v, 2), names).alias("third"), anys.list_get(v, 1, KINDS["Customer"]).cast("string").alias("second"),
+        anys.list_get_error(v, 2, KINDS["Part"]).alias("third_error"), anys.list_get_error(v, 0, KINDS["Part"]).alias("first_error"), anys.list_get_error(v, -1, KINDS["Part"]).alias("before_error"),
+    )
 
 
 @query("SELECT count(*) AS n, count(*) AS distinct_records FROM customer")
 def framed_files(spark, sf_dir):
     """Records written and read again as files of concatenated records, through the data source."""
-    import atexit
-    import shutil
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base}/framed-{id(spark)}-{abs(hash(sf_dir))}" if base else tempfile.mkdtemp(prefix="quern-framed-")
-    if not base:
-        atexit.register(shutil.rmtree, folder, True)
+    folder = new_folder(spark, "framed")
     framed.register(spark)
     binary.encode_records(customers(spark, sf_dir), SHOP, "Customer").write.format("quern_records").mode("overwrite").save(folder)
     return spark.read.format("quern_records").load(folder).agg(F.count("*").alias("n"), F.countDistinct("record").alias("distinct_records"))

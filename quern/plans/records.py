@@ -318,3 +318,43 @@ def op_log_drain(spark, sf_dir):
     log = recording.op_log(e.select("user_id", "event_id", ops.alias("ops")), "user_id", "event_id")
     drained = e.where("user_id % 2 = 0").select("user_id", (2 * (F.col("user_id") % 7)).cast("long").alias("seq"))
     return recording.pending(log, "user_id", drained).groupBy("user_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT k AS o_orderkey,
+  CASE k % 6 WHEN 0 THEN 'struct patch: index out of range' WHEN 1 THEN 'patch of a nested struct names an unknown field' WHEN 2 THEN 'remove: index out of range' WHEN 3 THEN 'unsupported patch version: 2' ELSE '' END AS error,
+  CAST(CASE k % 6 WHEN 4 THEN n WHEN 5 THEN n + 1 END AS INTEGER) AS n_lines, CASE WHEN k % 6 = 5 THEN CAST(7 AS DOUBLE) END AS last FROM b""")
+def patch_errors(spark, sf_dir):
+    """Patches of which some reach past their list, name unknown nested fields or are of another version; two kinds are fine."""
+    k, n = F.col("Orderkey"), F.size("Lines")
+    rows = baskets(spark, sf_dir).select(k, F.struct(k, F.lit("O").alias("Status"), F.col("Lines")).alias("r"), "Lines")
+
+    def nested(num, value):
+        return F.to_json(F.array(diff.op(num, diff.SET, -1, F.lit(value))))
+
+    ops = (
+        F.when(k % 6 == 0, F.array(diff.op(2, diff.LIST_STRUCT_PATCH, n, nested(3, "7"))))
+        .when(k % 6 == 1, F.array(diff.op(2, diff.LIST_STRUCT_PATCH, 0, nested(99, "7"))))
+        .when(k % 6 == 2, F.transform(F.sequence(F.lit(0), n), lambda _: diff.op(2, diff.LIST_REMOVE, 0)))
+        .when(k % 6 == 4, F.array(diff.op(77, diff.SET, -1, F.lit("x"))))
+        .otherwise(F.array(diff.op(2, diff.LIST_INSERT, n, F.to_json(F.get("Lines", 0))), diff.op(2, diff.LIST_STRUCT_PATCH, n, nested(3, "7"))))
+    )
+    version = F.when(k % 6 == 3, 2).otherwise(diff.VERSION)
+    rows = rows.select(k, "r", ops.alias("ops"), version.alias("version"))
+    rows = rows.withColumn("error", patch.error(F.col("r"), F.col("ops"), S["Basket"], S, F.col("version")))
+    made = F.when(F.col("error") == "", patch.apply(F.col("r"), F.col("ops"), S["Basket"], S, version=F.col("version")))
+    rows = rows.select(k, "error", made["Lines"].alias("made"))
+    return rows.select(k.alias("o_orderkey"), "error", F.when(F.col("made").isNotNull(), F.size("made")).alias("n_lines"), F.when(k % 6 == 5, F.element_at("made", -1)["Quantity"]).alias("last"))
+
+
+@query(f"""WITH {SPARSE}, z AS (SELECT *, 8 + CASE WHEN c_custkey <> 0 THEN 16 ELSE 0 END + CASE WHEN c_name <> '' THEN 8 + (strlen(c_name) + 7) // 8 * 8 ELSE 0 END + CASE WHEN c_nationkey <> 0 THEN 8 ELSE 0 END AS place FROM s)
+  SELECT c_custkey, CAST(CASE WHEN c_acctbal <> 0 THEN place ELSE 0 END AS BIGINT) AS acctbal_at, CAST(CASE WHEN c_acctbal <> 0 THEN 16 ELSE 0 END AS BIGINT) AS acctbal_size,
+  CAST(CASE WHEN c_mktsegment <> '' THEN place + CASE WHEN c_acctbal <> 0 THEN 16 ELSE 0 END ELSE 0 END AS BIGINT) AS segment_at, c_mktsegment AS segment FROM z""")
+def field_offsets(spark, sf_dir):
+    """Where fields lie; the segment is read from the encoded record at its place."""
+    rows = sparse_customers(spark, sf_dir)
+    r = F.struct("*")
+    places = {name: presence.field_place(r, S["Customer"], S, name) for name in ("Acctbal", "Mktsegment")}
+    rows = rows.select("*", *[p[x].alias(f"{name}_{x}") for name, p in places.items() for x in ("offset", "size")], F.octet_length("Mktsegment").alias("n"))
+    made = binary.encode_records(rows, SHOP, "Customer", keep=("Acctbal_offset", "Acctbal_size", "Mktsegment_offset", "n", "Custkey"))
+    raw = F.substr("record", (F.col("Mktsegment_offset") + 9).cast("int"), "n").cast("string")
+    return made.select(F.col("Custkey").alias("c_custkey"), F.col("Acctbal_offset").alias("acctbal_at"), F.col("Acctbal_size").alias("acctbal_size"), F.col("Mktsegment_offset").alias("segment_at"), F.when(F.col("n") > 0, raw).otherwise("").alias("segment"))

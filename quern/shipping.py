@@ -1,8 +1,10 @@
-"""Make this package importable in Python workers, wherever the driver found it."""
+"""What driver and executors share: this package's sources, and a folder."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +25,19 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(here.parent))
     context.addPyFile(str(target))
     _done.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; where it is unset, a temporary one in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="quern-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"

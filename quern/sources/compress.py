@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,12 +32,22 @@ def codec(name: str):
     return _codecs[name]
 
 
-def _apply(col: Column, name: str, which: int) -> Column:
+def _apply(col: Column, name: str, which: int, strict: bool = True) -> Column:
     f = codec(name)[which]
 
-    @F.pandas_udf(T.BinaryType())
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: v if not v else f(bytes(v)))
+    def one(v: bytes | None) -> bytes | None:
+        if not v:
+            return v
+        try:
+            return f(v)
+        except Exception:  # codecs, registered ones too, fail with errors of many kinds
+            if strict:
+                raise
+            return None
+
+    @F.arrow_udf(T.BinaryType())
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array(map(one, x.to_pylist()), pa.binary())
 
     return run(col)
 
@@ -50,3 +59,8 @@ def compressed(col: Column, name: str) -> Column:
 
 def decompressed(col: Column, name: str) -> Column:
     return _apply(col, name, 1)
+
+
+def try_decompressed(col: Column, name: str) -> Column:
+    """Null where the codec fails."""
+    return _apply(col, name, 1, False)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.sources import compress
+
 #: Payload bytes that a frame may have.
 LIMIT = 4 << 20
 
@@ -35,6 +37,21 @@ def size_limit(frames: DataFrame, payload: str = "payload", limit: int = LIMIT)
     return frames.withColumn("dropped", F.when(F.octet_length(payload) > limit, "oversize").otherwise(""))
 
 
+def delivered(frames: DataFrame, codecs: list[str], payload: str = "payload", codec: str = "codec", limit: int = LIMIT) -> DataFrame:
+    """Frames with ``body``, the payload as its codec reads it, and ``dropped``: "oversize", "unknown codec", "undecodable" or "".
+
+    Frames that a receiver drops keep their payload, so that nothing is lost in
+    silence; their body is null.
+    """
+    rows = size_limit(frames, payload, limit)
+    for i, name in enumerate(codecs):
+        rows = rows.withColumn(f"_body{i}", compress.try_decompressed(F.when((F.col(codec) == name) & (F.col("dropped") == ""), F.col(payload)), name))
+    body = F.coalesce(*[F.col(f"_body{i}") for i in range(len(codecs))])
+    rows = rows.withColumn("body", body).drop(*[f"_body{i}" for i in range(len(codecs))])
+    fine = (F.col("dropped") != "") | F.col("body").isNotNull() | F.col(payload).isNull()
+    return rows.withColumn("dropped", F.when(fine, F.col("dropped")).when(F.col(codec).isin(codecs), "undecodable").otherwise("unknown codec"))
+
+
 def match_requests(requests: DataFrame, responses: DataFrame, on: list[str]) -> DataFrame:
     """Requests with their responses; a request without one keeps nulls."""
     return requests.join(responses, on, "left")

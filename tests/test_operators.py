@@ -160,3 +160,44 @@ def test_reassembly_and_sessions(spark):
 def test_chain_is_outermost_first(spark):
     df = routing.chain(spark.range(1), lambda d: d.withColumn("x", F.concat("x", F.lit("1"))), lambda d: d.withColumn("x", F.lit("2")))
     assert df.first().x == "21"
+
+
+def test_patch_refusals(spark):
+    """What ``error`` names, ``apply`` refuses; unknown fields of the record itself are skipped."""
+    df = pair(spark, {"Leaf": ("a", [1]), "Leaves": [("x", []), ("y", [])]}, {})
+    nested = lambda num: F.to_json(F.array(diff.op(num, diff.SET, -1, F.lit("v"))))
+    cases = [
+        (F.array(diff.op(6, diff.LIST_STRUCT_PATCH, 1, nested(0))), ""),
+        (F.array(diff.op(6, diff.LIST_STRUCT_PATCH, 2, nested(0))), "struct patch: index out of range"),
+        (F.array(diff.op(6, diff.LIST_STRUCT_PATCH, -1, nested(0))), "struct patch: index out of range"),
+        (F.array(diff.op(6, diff.LIST_REMOVE, 1), diff.op(6, diff.LIST_STRUCT_PATCH, 1, nested(0))), "struct patch: index out of range"),
+        (F.array(diff.op(6, diff.LIST_STRUCT_PATCH, 0, nested(9))), patch.UNKNOWN),
+        (F.array(diff.op(5, diff.STRUCT_PATCH, -1, nested(9))), patch.UNKNOWN),
+        (F.array(diff.op(5, diff.STRUCT_PATCH, -1, nested(0)), diff.op(99, diff.SET, -1, F.lit("x"))), ""),
+        (F.array(diff.op(2, diff.LIST_INSERT, 1, F.lit("true"))), "insert: index out of range"),
+    ]
+    for ops, want in cases:
+        rows = df.select("old", ops.alias("ops"))
+        assert rows.select(patch.error(F.col("old"), F.col("ops"), S["Rec"], S)).first()[0] == want
+        made = rows.select(patch.apply(F.col("old"), F.col("ops"), S["Rec"], S).alias("r"))
+        if want:
+            with pytest.raises(Exception, match=want):
+                made.collect()
+        else:
+            assert made.first().r is not None
+    good = df.select("old", cases[0][0].alias("ops"))
+    with pytest.raises(Exception, match="version: 2"):
+        good.select(patch.apply(F.col("old"), F.col("ops"), S["Rec"], S, version=F.lit(2))).collect()
+
+
+def test_resolvers(spark):
+    from quern.operators import resolving
+
+    hosts = spark.createDataFrame([("a", "1.2.3.4"), ("a", "::1")], "host string, ip string")
+    known = resolving.Registry()
+    assert known.get("dns") is None
+    known.register("dns", resolving.dns(hosts))
+    assert known.schemes() == ["dns", "passthrough"]
+    asked = [(1, "a:7"), (2, "dns:///a"), (3, "dns:///b"), (4, "x://y/z"), (5, ""), (6, "dns:///[::2]:9"), (7, "dns:///256.1.1.1")]
+    got = known.resolve(spark.createDataFrame(asked, "id int, t string"), "t", "53").collect()
+    assert sorted((r.id, r.addr or r.error) for r in got) == [(1, "a:7"), (2, "1.2.3.4:53"), (2, "[::1]:53"), (3, "no addresses"), (4, "unknown scheme x"), (5, "empty target"), (6, "[::2]:9"), (7, "no addresses")]
