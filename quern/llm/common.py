@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.shipping import ship
+from quern.shipping import new_folder, shared_dir, ship
 
 #: Rows of a lookup table up to which it may be broadcast (16-100 bytes a row).
 BROADCAST_ROWS = 100_000
@@ -34,19 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     if not _scratch:
         atexit.register(drop_scratch, spark)
@@ -63,6 +52,45 @@ def drop_scratch(spark: SparkSession) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a row number that count rows of one file.
+ROW_BITS = 40
+
+
+def _is_file_scan(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is one row of a Parquet file, chosen and projected by functions of that row."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while True:
+        name = plan.getClass().getSimpleName()
+        if name == "LogicalRelation":
+            relation = plan.relation()
+            return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+        if name not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a long column ``name`` that is another number for every row, and the same in every later job.
+
+    Rows of Parquet files are numbered by file and place in it, so however a job
+    splits the files, now or after executors came or went, a row keeps its
+    number; nothing is written.  Any other input is stored once with its
+    numbers, and the stored table is what is returned.
+    """
+    if not _is_file_scan(df):
+        return stored(df.withColumn(name, F.monotonically_increasing_id()))
+    meta = df.metadataColumn("_metadata")
+    placed = df.select("*", meta["file_path"].alias("__quern_path"), meta["row_index"].alias(name))
+    # the driver that lists the files can hold their names
+    paths = sorted(r[0] for r in placed.select("__quern_path").distinct().collect())
+    if len(paths) < 2:
+        return placed.drop("__quern_path")
+    files = df.sparkSession.createDataFrame([(p, i << ROW_BITS) for i, p in enumerate(paths)], "__quern_path string, __quern_base long")
+    return placed.join(small(files, len(paths)), "__quern_path").withColumn(name, F.col(name) + F.col("__quern_base")).drop("__quern_path", "__quern_base")
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are within the bound, else left to a shuffle join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

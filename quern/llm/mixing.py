@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import numbered, small, stored
 
 #: Documents that one bucket of the reduction tree folds.
 FAN_IN = 64
@@ -88,7 +88,7 @@ def fold(bucket: str) -> str:
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST) -> DataFrame:
     """Words that a mix takes of each document.
 
-    One row per row of ``docs``: row (its place in the scan), doc_id, source, size (words), source_size,
+    One row per row of ``docs``: row (its number, see ``numbered``), doc_id, source, size (words), source_size,
     target (of its source), taken (words, repeats counted), copies (taken /
     size).  A document is taken whole times or, one a source, cut at a word;
     never more than ``most`` times its size.  Null and empty texts have size 0
@@ -96,13 +96,20 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     own; an empty table gives no rows.  Choices are functions of doc_id and
     text, so reruns agree.
     """
+    # cut to these columns and kept apart from clashing names before rows are numbered
+    rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")))
+    return _mix(rows, "text", "source", "doc_id", weights, share, most)
+
+
+def _mix(numbered_docs: DataFrame, text: str, source: str, doc_id: str, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """``mix_sources`` of rows that have their number in ``row``."""
     rows = stored(
-        docs.select(
+        numbered_docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.col(doc_id), F.col(text)).alias("h"),
-            F.monotonically_increasing_id().alias("row"),
+            "row",
         )
     )
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
@@ -144,10 +151,12 @@ def _taken(rows: DataFrame, shown: list[str]) -> DataFrame:
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = MOST) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with their columns and mix_size, mix_taken, mix_copies.
 
-    ``docs`` must be a stable scan (files), whose rows keep their places.  Its
-    columns of these three names, if any, are replaced.
+    Its columns of these three names, if any, are replaced.  Null and empty
+    texts are never taken; repeated rows are taken or left one by one; texts of
+    any length stay whole.
     """
-    chosen = mix_sources(docs, text, source, doc_id, weights, share, most).where("taken > 0")
-    chosen = chosen.select(F.col("row").alias("mix_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("copies").alias("mix_copies"))
-    rows = docs.drop("mix_size", "mix_taken", "mix_copies").withColumn("mix_row", F.monotonically_increasing_id())
-    return rows.join(chosen, "mix_row").drop("mix_row")
+    docs = docs.drop("mix_size", "mix_taken", "mix_copies")
+    rows = numbered(docs, "__quern_row")
+    chosen = _mix(rows.select(F.col("__quern_row").alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id")), "text", "source", "doc_id", weights, share, most).where("taken > 0")
+    chosen = chosen.select(F.col("row").alias("__quern_row"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken"), F.col("copies").alias("mix_copies"))
+    return rows.join(chosen, "__quern_row").drop("__quern_row")

@@ -13,9 +13,9 @@ anywhere else and remove the symbols that such windows cover.
    anchor both ways.
 
 All counts use partial aggregation and all joins are equi-joins on (hashed)
-content, so a passage in every document costs one row per task.  Rows are
-keyed by ``monotonically_increasing_id``: the input must be a stable scan
-(files or a stored table), which every task rereads in the same order.
+content, so a passage in every document costs one row per task.  Texts are
+read twice, under row numbers that no change of executors between the two
+reads can shift (``common.numbered``).
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix, winnow
-from .common import session_of, stored
+from .common import numbered, session_of, stored
 
-#: Bytes of context text in one suffix-array shard, and contexts of one gram that a shard may hold.
+#: Bytes of context text in one suffix-array shard, contexts of one gram that a shard may hold, and shards of a task.
 SHARD_BYTES = 600_000
 SHARD_CONTEXTS = 800
+TASK_SHARDS = 6
 
 _SPAN = "array<struct<s:int,e:int>>"
 
@@ -201,7 +202,7 @@ def _by_suffix_arrays(contexts: DataFrame, n: int) -> DataFrame:
     """(row, s): windows of single contexts whose content occurs in another place."""
     total = contexts.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    hot = contexts.groupBy("g").count().where(F.col("count") > SHARD_CONTEXTS)
+    hot = stored(contexts.groupBy("g").count().where(F.col("count") > SHARD_CONTEXTS))
     parts = F.ceil(F.col("count") / SHARD_CONTEXTS)
     placed = contexts.join(hot, "g", "left").select(
         "g", "c", "row", "s", "windows", "single", "context",
@@ -210,6 +211,8 @@ def _by_suffix_arrays(contexts: DataFrame, n: int) -> DataFrame:
         F.col("count").isNotNull().alias("split"),
     )
     key = [F.col("shard"), F.col("sub"), F.when(F.col("split"), F.col("g")).alias("hot")]
+    # a fixed share of shards for each task, whatever the input
+    placed = placed.repartition(-(-shards // TASK_SHARDS), *key)
     found = stored(placed.groupBy(*key).applyInPandas(_shard(n), "row long, s int, f1 long, f2 long, open boolean"))
     across = found.where("open").repartitionByRange("f1").mapInPandas(_merge_sorted, "row long, s int")
     return found.where("not open").select("row", "s").union(across)
@@ -224,7 +227,7 @@ def _by_extension(windows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, text: str, doc_id: str, unit: str, n: int, k: int) -> DataFrame:
     """(id, n, gone, spans, kept): one row per row of ``docs``; see the module."""
     session_of(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    rows = numbered(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")))
     found = stored(rows.select("row", "text").mapInArrow(_runs(unit, n, k), "row long, s int, e int, a int, g long, c long"))
     grams = found.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1")
     # stored, so that both sides of the join are plain exchanges whose skewed partitions can be split
