@@ -10,20 +10,20 @@ never the result.  Each candidate is verified on all 64 bits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, session_of, stored
+from .common import components, numbered, session_of, stored
 
 #: Fingerprints that the driver samples to plan the search.
 SAMPLE = 3000
 #: Parts that the planner may cut the bits into; wide radii need more.
-PARTS = (3, 4, 5)
-#: Distinct fingerprints in a bucket beyond which its other bits divide it again.
-HOT = 500
+PARTS = (2, 3, 4, 5)
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
@@ -41,10 +41,11 @@ def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """Bits set in over half of the shingles' XXH64; repeats count; no words: zero."""
-    hashes = shingle_hashes((text or b"").lower().split(), shingle)
-    if not hashes:
-        return 0
-    h = np.array(hashes, np.uint64)
+    return bits_of(np.array(shingle_hashes((text or b"").lower().split(), shingle), np.uint64))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes ``h``; zero if there are none."""
     count = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         count += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -111,36 +112,46 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _places(prints: DataFrame, parts: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(index, probe): (part, key, fp) where each fingerprint lies, and where it looks for others."""
+    index, probe = [], []
+    for i, (mask, threshold) in enumerate(parts):
+        key = F.col("fp").bitwiseAND(F.lit(signed(mask)))
+        index.append(prints.select("*", F.lit(i).alias("part"), key.alias("key")))
+        flips = [F.lit(0).cast("long"), *[F.lit(signed(1 << x)) for x in range(64) if mask >> x & 1]]
+        probe.append(prints.select("*", F.lit(i).alias("part"), F.explode(F.array(*[key.bitwiseXOR(x) for x in flips])).alias("key")) if threshold else index[-1])
+    return reduce(DataFrame.union, index), reduce(DataFrame.union, probe)
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
-    """(u, v), u < v: all pairs of the distinct ``prints`` (column fp) that differ in 1 to ``radius`` bits.
+    """(u, v): pairs of the distinct ``prints`` (column fp) that differ in 1 to ``radius`` bits.
 
-    Buckets of over HOT fingerprints are divided again by the same principle on
-    the bits outside the part, so no bucket's pairs are all compared.
+    Not all of them, but what all of them connect these connect too: every
+    fingerprint is compared with one leader of each bucket that it probes, and
+    what that links needs no pairs of its own.  After that only fingerprints of
+    different components meet, bucket by bucket, so a bucket of thousands of
+    near ones costs one comparison each.
     """
     sample = np.array([r.fp for r in prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64)
     parts = plan(sample, radius, prints.count())
-    keys, probes = [], []
-    for i, (mask, threshold) in enumerate(parts):
-        key = F.col("fp").bitwiseAND(F.lit(signed(mask)))
-        flips = [F.lit(0)] + ([F.lit(signed(1 << x)) for x in range(64) if mask >> x & 1] if threshold else [])
-        rest = [x for x in range(64) if not mask >> x & 1]
-        subs = [F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(signed(sum(1 << x for x in rest[j :: radius + 1])))).alias("k")) for j in range(radius + 1)]
-        keys.append(prints.select("fp", F.lit(i).alias("part"), key.alias("key"), F.array(*subs).alias("subs")))
-        probes.append(prints.select("fp", F.lit(i).alias("part"), F.explode(F.array(*[key.bitwiseXOR(x) for x in flips])).alias("key"), F.array(*subs).alias("subs")))
-    index, probe = keys[0], probes[0]
-    for k, p in zip(keys[1:], probes[1:], strict=True):
-        index, probe = index.union(k), probe.union(p)
-    hot = stored(index.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key", F.lit(True).alias("hot")))
-
-    def cut(side: DataFrame, name: str) -> DataFrame:
-        none = F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("long").alias("k")))
-        return side.join(hot, ["part", "key"], "left").select("part", "key", F.col("fp").alias(name), F.explode(F.when(F.col("hot"), F.col("subs")).otherwise(none)).alias("s")).select("part", "key", "s.j", "s.k", name)
-
-    on = ["part", "key", "j", "k"]
-    a, b = cut(probe, "u"), cut(index, "v")
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
-    cond = [a[x] == b[x] for x in on] + [F.col("u") < F.col("v"), near]
-    return a.join(b, cond).select("u", "v").distinct()
+    on = ["part", "key"]
+
+    def near(a: str, b: str):
+        return (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
+
+    index, probe = _places(prints.select("fp"), parts)
+    lead = stored(index.groupBy(*on).agg(F.min(F.struct(F.xxhash64("fp").alias("x"), "fp")).alias("l")).select(*on, F.col("l.fp").alias("v")))
+    first = stored(probe.withColumnRenamed("fp", "u").join(lead, on).where(near("u", "v")).select("u", "v").distinct())
+    known = stored(prints.select("fp").join(components(first), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c")))
+    index, probe = _places(known, parts)
+    index = index.select(*on, F.col("fp").alias("v"), F.col("c").alias("d"))
+    main = index.groupBy(*on, "d").count().groupBy(*on).agg(F.max(F.struct("count", "d")).alias("l")).select(*on, F.col("l.d").alias("main"))
+    main = stored(main)
+    probe = probe.withColumnRenamed("fp", "u").join(main, on)
+    index = index.join(main.withColumnRenamed("main", "most"), on)
+    apart = probe.where("c <> main").join(index.where("d = most"), on).where(near("u", "v"))
+    stray = probe.join(index.where("d <> most"), on).where((F.col("c") != F.col("d")) & near("u", "v"))
+    return first.union(apart.select("u", "v")).union(stray.select("u", "v")).distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -166,16 +177,22 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the one of the smallest doc_id.
+    """``docs`` with one row of each group of fingerprints that ``radius`` bits link: the one of the smallest doc_id.
 
     Of rows that share that id one stays; a group without any id keeps one row.
-    Columns and texts are unchanged.
+    Null and blank texts are one group; texts of any length count whole; an
+    empty table stays empty.  Columns and texts are unchanged.
     """
-    names = docs.columns
     session_of(docs)
-    row = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
+    rows = numbered(docs, "__quern_row")
+    row = rows.select(F.col("__quern_row").alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
     found = stored(row.mapInArrow(_fingerprints(shingle), "_row long, _id long, _print long"))
     prints = stored(found.groupBy("_print").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("least")))
     groups = components(links(prints.select(F.col("_print").alias("fp")), radius))
-    best = prints.join(groups, F.col("_print") == F.col("node"), "left").groupBy(F.coalesce("component", "_print").alias("c")).agg(F.min("least").alias("least"))
-    return docs.withColumn("__quern_row", F.monotonically_increasing_id()).join(best.select(F.col("least._row").alias("__quern_row")), "__quern_row", "left_semi").select(*names)
+    return first_of_groups(rows, prints.withColumnRenamed("_print", "key"), groups)
+
+
+def first_of_groups(rows: DataFrame, keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of ``rows`` (numbered in __quern_row) that comes first in each group of ``keys`` (key, least: null id, id and row)."""
+    best = keys.join(groups, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("least").alias("least"))
+    return rows.join(best.select(F.col("least._row").alias("__quern_row")), "__quern_row", "left_semi").drop("__quern_row")
