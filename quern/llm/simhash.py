@@ -23,7 +23,7 @@ from .common import components, numbered, session_of, stored
 #: Fingerprints that the driver samples to plan the search.
 SAMPLE = 3000
 #: Parts that the planner may cut the bits into; wide radii need more.
-PARTS = (2, 3, 4, 5)
+PARTS = (3, 4, 5)
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
