@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of
+from .common import session_of, stored
+from .winnow import Hashes, mix
 
-#: Bytes of benchmark text whose windows one broadcast may hold; larger benchmarks go in several passes.
-BLOCK_BYTES = 32_000_000
+#: Bytes of benchmark text whose windows one broadcast may hold (about ten times that in memory); larger benchmarks go in several passes.
+BLOCK_BYTES = 16_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)).translate(bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)))
@@ -25,35 +26,71 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """All windows of a block of items: exact word ids as keys, so a hit is verified by its lookup."""
+    """All windows of a block of items as sorted hashes; a hit is verified word by word.
+
+    About 20 bytes a window beside the vocabulary.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.names = sorted({item for item, _ in items if item is not None})
+        place = {name: k for k, name in enumerate(self.names)}
+        ids, starts, owners = [], {}, {}
+        at = 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1) if size else ():
-                found = self.windows.setdefault(size, {}).setdefault(np.array(ids[i : i + size], np.int32).tobytes(), set())
-                if item is not None:
-                    found.add(item)
+            own = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)), np.int32)
+            size = min(n, len(own))
+            if size:
+                ids.append(own)
+                starts.setdefault(size, []).append(np.arange(at, at + len(own) - size + 1))
+                owners.setdefault(size, []).append(np.full(len(own) - size + 1, place.get(item, -1), np.int32))
+                at += len(own)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        for self.which in range(2):
+            self.sizes = {size: self._table(size, np.concatenate(starts[size]), np.concatenate(owners[size])) for size in starts}
+            if None not in self.sizes.values():
+                return
+        raise ValueError("windows of this block share hashes")
+
+    def _hashes(self, ids: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        return Hashes(mix(ids.astype(np.uint64)), self.which).of(start, start + size)
+
+    def _table(self, size: int, start: np.ndarray, owner: np.ndarray):
+        """(hashes, a place of each in ``ids``, owners, where each one's begin), or nothing if two windows share a hash."""
+        h = self._hashes(self.ids, start, size)
+        order = np.lexsort((owner, h))
+        h, start, owner = h[order], start[order], owner[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        first = np.flatnonzero(new)
+        lead = start[first][np.cumsum(new) - 1]
+        for k in range(size):
+            if (self.ids[start + k] != self.ids[lead + k]).any():
+                return None
+        once = (owner >= 0) & (new | np.r_[True, owner[1:] != owner[:-1]])
+        count = np.add.reduceat(once, first)
+        return h[first], start[first], owner[once], np.r_[0, np.cumsum(count)]
 
     def scan(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """([start, end) word spans of hit windows, items that own them)."""
         ids = np.fromiter(map(self.vocabulary.get, tokens, repeat(0)), np.int32, len(tokens))
         known = np.r_[0, np.cumsum(ids > 0)]
         spans, items = [], set()
-        for size, windows in self.windows.items():
+        for size, (hashes, place, owner, begin) in self.sizes.items():
             if len(ids) < size:
                 continue
             at = np.flatnonzero(known[size:] - known[:-size] == size)
             if not len(at):
                 continue
-            keys = np.ascontiguousarray(ids[at[:, None] + np.arange(size)]).view(f"V{4 * size}").ravel().tolist()
-            for start, key in zip(at.tolist(), keys, strict=True):
-                if (own := windows.get(key)) is not None:
-                    spans.append((start, start + size))
-                    items |= own
+            h = self._hashes(ids, at, size)
+            found = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[found] == h
+            at, found = at[hit], found[hit]
+            for k in range(size):
+                same = ids[at + k] == self.ids[place[found] + k]
+                at, found = at[same], found[same]
+            spans += [(x, x + size) for x in at.tolist()]
+            for f in np.unique(found).tolist():
+                items.update(self.names[o] for o in owner[begin[f] : begin[f + 1]].tolist())
         return spans, items
 
 
@@ -101,8 +138,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     is counted as no item; an empty benchmark hits nothing.
 
     The benchmark is collected in blocks of about ``block_bytes``: each block
-    is one broadcast and one map over the documents, so a benchmark of any size
-    needs bounded memory.  No shuffle.
+    is one broadcast and one map over the documents.  What a pass has found is
+    stored before the next, so that only one block is in memory at a time,
+    however large the benchmark.  No shuffle.
     """
     hits = _hits(docs, benchmark, text, item_id, item_text, n, keep, block_bytes)
     return hits.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
@@ -117,8 +155,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_t
     out = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast(_OUT).alias("_spans"), F.array().cast("array<string>").alias("_items"))
     for b in range(blocks):
         rows = source.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).where("t is not null").collect()
-        windows = Windows([(r.i, bytes(r.t)) for r in rows], n)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(windows)), out.schema)
+        block = spark.sparkContext.broadcast(Windows([(r.i, bytes(r.t)) for r in rows], n))
+        del rows
+        out = out.mapInArrow(_pass(block), out.schema)
+        if b < blocks - 1:
+            out = stored(out)
+            block.destroy()
     return out
 
 
@@ -146,7 +188,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n:
 
     Same columns and types as ``docs``; texts without a hit are unchanged.
     With ``short_items``, items of fewer than ``n`` words, but not none, are one
-    window each, as in ``benchmark_hits``; else they are left out.
+    window each, as in ``benchmark_hits``; else they are left out.  Null and
+    empty texts have no hits and stay; repeated rows go or stay alike; an empty
+    table stays empty, an empty benchmark changes nothing.
     """
     items = benchmark if short_items else benchmark.where(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")) >= n)
     hits = _hits(docs, items, text, "item_id", "text", n, tuple(docs.columns), BLOCK_BYTES).where(F.size("_items") < drop_items)

@@ -44,6 +44,9 @@ def test_decontamination(spark):
     texts = ["so ONE, two three four five six seven eight nine! über alles", "one two three four five six seven", None, "", "no id here. No ID-here", "a one two three four five six seven eight b two three four five six seven eight nine"]
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "x")], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    long = "word " * 40_000 + items[0][1] + " word" * 40_000
+    seen = decontaminate.benchmark_hits(spark.createDataFrame([(0, long)], "doc_id long, text string"), bench).first()
+    assert seen.n_words == 80_009 and list(seen["items"]) == ["1"] and [(x.s, x.e) for x in seen.spans] == [(40_000, 40_009)]
     for size in (1 << 20, 40):
         got = decontaminate.benchmark_hits(frame, bench, block_bytes=size).collect()
         for r in got:
@@ -104,18 +107,62 @@ def test_language(spark, docs):
     assert langid.identify(odd, docs.where("false")).where("lang_pred <> 'und' or score <> 0").count() == 0
 
 
+def plain_grams(text):
+    """Buckets of a text's n-grams, one by one: runs of what is no letter are one space, before and behind two."""
+    import unicodedata
+
+    kept = []
+    for c in text.lower():
+        kind = unicodedata.category(c)[0]
+        kept.append(c if kind in "LM" else " ")
+    s = "  " + re.sub(" +", " ", "".join(kept)).removeprefix(" ")
+    out = []
+    for at in range(2, len(s)):
+        h = 0
+        for n, c in enumerate((s + "  ")[at : at + 3], 1):
+            h = (h + ord(c)) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+            out.append((n, h * 0x85EBCA77 % 2**32 >> 16))
+    return [b for _, b in out]
+
+
+def test_language_equals_plain_bayes(spark, docs):
+    import math
+    from collections import Counter
+
+    training = docs.where("doc_id % 3 = 0").select("doc_id", "text", "lang").collect()
+    counts, n = defaultdict(Counter), Counter()
+    for r in training:
+        counts[r.lang].update(plain_grams(r.text))
+        n[r.lang] += 1
+    asked = docs.where("doc_id % 3 = 1 and length(text) < 3000").select("doc_id", "text")
+    got = {r.doc_id: r for r in langid.identify(asked, docs.where("doc_id % 3 = 0")).collect()}
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    for r in asked.collect()[:40]:
+        score = {x: math.log(n[x] / sum(n.values())) + sum(math.log((counts[x][g] + 0.5) / (total[x] + 0.5 * langid.BUCKETS)) for g in plain_grams(r.text)) for x in counts}
+        best = max(sorted(score), key=score.get)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - 1 / sum(math.exp(v - score[best]) for v in score.values())) < 1e-3
+
+
+def test_many_languages_take_passes(spark, docs, monkeypatch):
+    whole = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, docs).collect()}
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, docs).collect()} == whole and len({x for x, _ in whole.values()}) == 4
+
+
 def test_language_chunks_agree(spark, docs, monkeypatch):
     text = "Bonjour le monde, ça va bien aujourd'hui et demain."
-    model = langid.train(docs, "text", "lang")
+    langs, model = langid.train(docs, "text", "lang")
 
     class Held:
-        value = model
+        value = langid._block(model, langs)
 
     import pyarrow as pa
 
-    run = lambda: next(langid._predict(Held, langid.LENGTHS)(iter([pa.RecordBatch.from_pydict({"_text": [text, None, text + text]})]))).to_pylist()
+    low = [float("-inf")] * 3
+    run = lambda: next(langid._predict(Held, langid.LENGTHS)(iter([pa.RecordBatch.from_pydict({"_text": [text, None, text + text], "lang_pred": ["und"] * 3, "_best": low, "_sum": low})]))).to_pylist()
     whole = run()
-    assert whole[1] == {"lang_pred": "und", "score": 0.0}
+    assert whole[1]["lang_pred"] == "und" and whole[0]["lang_pred"] == "fr"
     monkeypatch.setattr(langid, "CHUNK", 7)
     assert [x["lang_pred"] for x in run()] == [x["lang_pred"] for x in whole]
 
