@@ -18,7 +18,7 @@ BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
 #: Characters hashed at once: bounds memory for very long texts and batches.
 CHUNK = 300_000
-#: Languages a model may hold: bounds the broadcast to BUCKETS x LANGUAGES x 4 bytes.
+#: Languages that one pass scores: bounds its broadcast to BUCKETS x LANGUAGES x 4 bytes; more take several passes.
 LANGUAGES = 256
 
 _PAD = np.full(max(LENGTHS) - 1, 32, np.uint32)
@@ -105,50 +105,61 @@ def _counts(lengths):
     return scan
 
 
-def train(docs: DataFrame, text: str, lang: str, lengths: tuple[int, ...] = LENGTHS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log probabilities [BUCKETS, languages], log priors) from all rows with a non-null ``lang``.
+def _columns(table: pa.Table) -> pa.Table:
+    """One row a language: its documents, and its log probabilities by bucket as raw floats."""
+    bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
+    counts = np.zeros(BUCKETS)
+    counts[bucket[bucket >= 0]] = n[bucket >= 0]
+    log = np.log((counts + 0.5) / (counts.sum() + 0.5 * BUCKETS)).astype(np.float32)
+    return pa.table({"lang": table["lang"].slice(0, 1), "docs": pa.array([int(n[bucket < 0].sum())]), "log": pa.array([log.tobytes()], pa.binary())})
 
-    Tasks send one count per language and used bucket; sums come back as at
-    most BUCKETS rows a language, for at most LANGUAGES languages.
+
+def train(docs: DataFrame, text: str, lang: str, lengths: tuple[int, ...] = LENGTHS) -> tuple[list[str], DataFrame]:
+    """(languages by code point, (lang, log, prior)) from all rows with a non-null ``lang``.
+
+    Tasks send one count per language and used bucket.  ``log`` holds a
+    language's log probabilities by bucket as float32.
     """
     session_of(docs)
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sums = stored(rows.mapInArrow(_counts(lengths), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    langs = [r.lang for r in sums.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()]
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    langs = sorted(langs)
-    counts = np.zeros((BUCKETS, len(langs)))
-    priors = np.zeros(len(langs))
-    for k, name in enumerate(langs):
-        own = sums.where(F.col("lang") == name).select("bucket", "n").toPandas()
-        head = own["bucket"].to_numpy() < 0
-        priors[k] = own["n"].to_numpy()[head].sum()
-        counts[own["bucket"].to_numpy()[~head], k] = own["n"].to_numpy()[~head]
-    log = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS)).astype(np.float32)
-    return langs, log, np.log(priors / max(priors.sum(), 1)) if len(langs) else priors
+    sums = rows.mapInArrow(_counts(lengths), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    model = stored(sums.groupBy("lang").applyInArrow(_columns, "lang string, docs long, log binary"))
+    facts = model.select("lang", "docs").collect()
+    total = max(sum(r.docs for r in facts), 1)
+    return sorted(r.lang for r in facts), model.select("lang", "log", F.log(F.col("docs") / total).alias("prior"))
+
+
+def _block(model: DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log probabilities [language, bucket], log priors) of the given languages."""
+    rows = {r.lang: r for r in model.where(F.col("lang").isin(langs)).collect()}
+    log = np.stack([np.frombuffer(rows[x].log, np.float32) for x in langs]) if langs else np.zeros((0, BUCKETS), np.float32)
+    return langs, log, np.array([rows[x].prior for x in langs])
 
 
 def _predict(model, lengths):
+    """Score one block of languages: the best so far, its log posterior, and the log of the sum of all."""
+
     def scan(batches):
         langs, log, priors = model.value
-        columns = [np.ascontiguousarray(log[:, k]) for k in range(len(langs))]
         for batch in batches:
-            texts = batch["_text"].to_pylist() if langs else [None] * batch.num_rows
+            texts = batch["_text"].to_pylist()
             total = np.tile(priors.astype(float), (len(texts), 1))
             known = np.zeros(len(texts), bool)
             for codes, start, end, owner in _chunks(texts):
                 known[owner] = True
                 for g in _grams(codes, lengths):
-                    for k, column in enumerate(columns):
+                    for k, column in enumerate(log):
                         total[:, k] += np.bincount(owner, np.add.reduceat(column[g[: end[-1]]], start, dtype=np.float64), len(texts))
-            names, scores = [], []
-            best = total.argmax(1) if langs else np.zeros(len(texts), int)
-            for i, k in enumerate(best.tolist()):
-                names.append(langs[k] if known[i] else "und")
-                scores.append(float(1 / np.exp(total[i] - total[i, k]).sum()) if known[i] else 0.0)
-            keep = [x for x in batch.schema.names if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*[batch[x] for x in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            best, top = total.argmax(1), total.max(1)
+            had, before = batch["_best"].to_numpy(zero_copy_only=False), batch["_sum"].to_numpy(zero_copy_only=False)
+            better = top > had
+            names = [langs[k] if b else x for k, b, x in zip(best.tolist(), better.tolist(), batch["lang_pred"].to_pylist(), strict=True)]
+            names = [x if y else "und" for x, y in zip(names, known.tolist(), strict=True)]
+            # sums of exponentials from the larger of both sides
+            high = np.maximum(top, before)
+            both = high + np.log(np.exp(total - high[:, None]).sum(1) + np.exp(before - high))
+            new = {"lang_pred": pa.array(names, pa.string()), "_best": pa.array(np.maximum(top, had)), "_sum": pa.array(both)}
+            yield pa.RecordBatch.from_arrays([new[x] if x in new else batch[x] for x in batch.schema.names], names=batch.schema.names)
 
     return scan
 
@@ -163,7 +174,14 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str
     columns are ignored; repeated rows are rows of their own.
     """
     spark = session_of(docs)
-    model = spark.sparkContext.broadcast(train(training, text, lang, lengths))
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
-    return rows.mapInArrow(_predict(model, lengths), out)
+    langs, model = train(training, text, lang, lengths)
+    low = F.lit(float("-inf"))
+    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"), F.lit("und").alias("lang_pred"), low.alias("_best"), low.alias("_sum"))
+    for at in range(0, len(langs), LANGUAGES):
+        block = spark.sparkContext.broadcast(_block(model, langs[at : at + LANGUAGES]))
+        rows = rows.mapInArrow(_predict(block, lengths), rows.schema)
+        if at + LANGUAGES < len(langs):
+            rows = stored(rows)
+            block.destroy()
+    score = F.when(F.col("lang_pred") == "und", 0.0).otherwise(F.least(F.exp(F.col("_best") - F.col("_sum")), F.lit(1.0)))
+    return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", score.alias("score"))
