@@ -145,11 +145,15 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     known = stored(prints.select("fp").join(components(first), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("c")))
     index, probe = _places(known, parts)
     index = index.select(*on, F.col("fp").alias("v"), F.col("c").alias("d"))
-    main = index.groupBy(*on, "d").count().groupBy(*on).agg(F.max(F.struct("count", "d")).alias("l")).select(*on, F.col("l.d").alias("main"))
-    main = stored(main)
-    probe = probe.withColumnRenamed("fp", "u").join(main, on)
-    index = index.join(main.withColumnRenamed("main", "most"), on)
-    apart = probe.where("c <> main").join(index.where("d = most"), on).where(near("u", "v"))
+    # of each bucket its largest component, with the bits that all of its fingerprints, and that any of them, have
+    groups = index.groupBy(*on, "d").agg(F.count("*").alias("n"), F.bit_and("v").alias("all"), F.bit_or("v").alias("any"))
+    main = stored(groups.groupBy(*on).agg(F.max(F.struct("n", "d", "all", "any")).alias("l")).select(*on, F.col("l.d").alias("main"), "l.all", "l.any"))
+    probe = probe.withColumnRenamed("fp", "u")
+    # a fingerprint that differs from all of them in too many of the bits they share is near none
+    shared = F.bitwise_not(F.col("all").bitwiseXOR(F.col("any")))
+    within = F.bit_count(F.col("u").bitwiseXOR(F.col("all")).bitwiseAND(shared)) <= radius
+    index = index.join(main.select(*on, F.col("main").alias("most")), on)
+    apart = probe.join(main, on).where((F.col("c") != F.col("main")) & within).join(index.where("d = most"), on).where(near("u", "v"))
     stray = probe.join(index.where("d <> most"), on).where((F.col("c") != F.col("d")) & near("u", "v"))
     return first.union(apart.select("u", "v")).union(stray.select("u", "v")).distinct()
 
