@@ -5,8 +5,9 @@ bad, good or nothing on each document; EM over the counts of vote patterns (at
 most 3 to the number of labellers, however large the corpus) estimates how each
 labeller votes on bad and good documents.  The posterior of a pattern is the
 soft label of the documents that show it, and a logistic scorer over hashed
-words and shapes learns from a bounded hash sample of them.  The scorer sees
-only the text.
+words, stems and shapes learns from a bounded hash sample of them.  The scorer
+sees only the text.  Toxicity has two labellers beside the labels, a list of
+insults and a lexicon of words and stems that labelled documents teach.
 """
 
 from __future__ import annotations
@@ -22,9 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import session_of, small, stored
 
-#: Documents that fit the scorer, hashed features.
+#: Documents that fit the scorer, and labelled ones that teach the lexicon, at most; hashed features.
 SAMPLE = 8_000
-FEATURES = 1 << 16
+LABELLED = 20_000
+FEATURES = 1 << 18
+#: Entries of the lexicon at most; how many labelled documents, how large a share of toxic ones and how many standard deviations above chance an entry needs.
+LEXICON = 2_000
+LEAST, SHARE, DEVIATIONS = 5, 0.8, 8.0
+#: Letters of a word's beginning that are a feature of their own: stems of words that vary.
+STEM = 5
 #: Scores from which a document is rejected; to miss a toxic one costs more than to lose a clean one.
 REJECT_LOW = 0.5
 REJECT_TOXIC = 0.25
@@ -74,12 +81,12 @@ def quality_votes(s: dict[str, float], label: int | None = None) -> list[int]:
     ]
 
 
-def toxic_votes(words: list[str], label: int | None = None) -> list[int]:
-    hits = sum(w in INSULTS for w in words)
+def toxic_votes(words: set[str], lexicon: frozenset[int] = frozenset(), label: int | None = None) -> list[int]:
+    """A list of insults, a lexicon learned from labelled documents (one hit in a long text is chance), and the label."""
+    hits = sum(terms(w)[0] in lexicon or terms(w)[1] in lexicon for w in words) if lexicon else 0
     return [
-        BAD if hits else GOOD,
-        BAD if hits > 1 else NONE if hits else GOOD,
-        BAD if hits > 0.002 * len(words) and hits else NONE,
+        BAD if not INSULTS.isdisjoint(words) else GOOD,
+        NONE if not lexicon else BAD if hits > max(1, 0.004 * len(words)) else NONE if hits else GOOD,
         NONE if label is None else BAD if label == 1 else GOOD,
     ]
 
@@ -109,16 +116,62 @@ def weigh(patterns: np.ndarray, counts: np.ndarray, rate: float, rounds: int = 1
     return new
 
 
-def hashed(text: str, words: list[str], s: dict[str, float]) -> list[int]:
-    """Feature numbers of a text: its distinct words, and every level that its shape reaches."""
-    found = {crc32(w.encode()) % FEATURES for w in set(words)}
+class _Terms(dict):
+    """(hash of a word, hash of its stem), remembered for the words that texts share."""
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = (crc32(word.encode()), crc32(f"{word[:STEM]}*".encode()))
+        return found
+
+
+terms = _Terms().__getitem__
+
+
+def hashed(words: set[str], s: dict[str, float]) -> list[int]:
+    """Feature numbers of a text: its distinct words and their stems, and every level that its shape reaches."""
+    found = {x % FEATURES for w in words for x in terms(w)}
     for k, v in s.items():
         level = int(np.log2(v + 1) * 2) if k in ("n", "long") else int(v * 20)
         found.update(crc32(f"{k}>{i}".encode()) % FEATURES for i in range(min(level, 40) + 1))
     return sorted(found)
 
 
-def _scan(threshold: int | None):
+def _distinct(batches):
+    """(term, toxic) of every distinct word and stem of labelled texts, summed over a partition."""
+    for batch in batches:
+        count: dict[int, list[int]] = {}
+        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            for x in {x for w in set(_WORD.findall((text or "").lower())) for x in terms(w)}:
+                c = count.setdefault(x, [0, 0])
+                c[0] += toxic
+                c[1] += 1
+        yield pa.RecordBatch.from_pydict({"term": pa.array(count, pa.int64()), "t": pa.array([c[0] for c in count.values()], pa.int64()), "n": pa.array([c[1] for c in count.values()], pa.int64())})
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str) -> frozenset[int]:
+    """Terms of labelled documents that are toxic far more often than chance; from about LABELLED documents at most."""
+    if labels is None:
+        return frozenset()
+    own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    own = stored(own)
+    total = own.count()
+    if total > LABELLED:
+        own = own.where(F.pmod(F.xxhash64("_doc"), F.lit(1_000_000)) < int(1_000_000 * LABELLED / total))
+    own = own.limit(2 * LABELLED)
+    seen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(own), F.col("_id") == F.col("_doc")).select("text", "toxic")
+    size, bad = seen.agg(F.count("*"), F.sum("toxic")).first()
+    if not bad or bad == size:
+        return frozenset()
+    rate = bad / size
+    counts = seen.mapInArrow(_distinct, "term long, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    beyond = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
+    good = counts.where(f"t >= {LEAST} and t >= {SHARE} * n").withColumn("z", beyond).where(f"z >= {DEVIATIONS}")
+    return frozenset(r.term for r in good.orderBy(F.desc("z"), "term").limit(LEXICON).collect())
+
+
+def _scan(threshold: int | None, lexicon: frozenset[int]):
     """Vote patterns of every document before its labels are known; hashed features of the sampled ones (h below ``threshold``)."""
 
     def scan(batches):
@@ -126,11 +179,11 @@ def _scan(threshold: int | None):
             q, t, x = [], [], []
             for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 text = text or ""
-                words = _WORD.findall(text.lower())
+                words = set(_WORD.findall(text.lower()))
                 s = shape(text)
                 q.append("".join(map(str, quality_votes(s))))
-                t.append("".join(map(str, toxic_votes(words))))
-                x.append(hashed(text, words, s) if threshold is None or h < threshold else None)
+                t.append("".join(map(str, toxic_votes(words, lexicon))))
+                x.append(hashed(words, s) if threshold is None or h < threshold else None)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(q, pa.string()), pa.array(t, pa.string()), pa.array(x, pa.list_(pa.int32()))], names=["id", "h", "q", "t", "x"])
 
     return scan
@@ -184,12 +237,17 @@ def train(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str, sam
     threshold = None if total <= sample else int(2**63 * sample / total)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).bitwiseAND(F.lit(2**63 - 1)).alias("h"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    seen = stored(_labelled(rows.mapInArrow(_scan(threshold), f"id {kind}, h long, q string, t string, x array<int>"), labels))
+    lexicon = learn_lexicon(docs, labels, text, doc_id)
+    seen = stored(_labelled(rows.mapInArrow(_scan(threshold, lexicon), f"id {kind}, h long, q string, t string, x array<int>"), labels))
     posterior = {}
     for column, rate in (("q", 0.15), ("t", 0.05)):
         counts = seen.groupBy(column).count().orderBy(column).toPandas()
         patterns = np.array([[int(c) for c in p] for p in counts[column]])
-        posterior[column] = dict(zip(counts[column], weigh(patterns, counts["count"].to_numpy().astype(float), rate), strict=True))
+        post = weigh(patterns, counts["count"].to_numpy().astype(float), rate)
+        if column == "t" and not lexicon:
+            # accuracies cannot be told from one labeller: the label decides where there is one, else the list
+            post = (np.where(patterns[:, -1] == NONE, patterns[:, 0], patterns[:, -1]) == BAD).astype(float)
+        posterior[column] = dict(zip(counts[column], post, strict=True))
     fitted = seen.where("x is not null").orderBy("h", "q", "t").limit(2 * sample).toPandas()
     if not len(fitted):
         return None
@@ -208,7 +266,7 @@ def _score(model):
                     tox.append(0.0)
                     continue
                 text = text or ""
-                x = np.array(hashed(text, _WORD.findall(text.lower()), shape(text)))
+                x = np.array(hashed(set(_WORD.findall(text.lower())), shape(text)))
                 w, b, v, c = fitted
                 low.append(float(_logistic(w[x].sum() + b)))
                 tox.append(float(_logistic(v[x].sum() + c)))
@@ -223,7 +281,8 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, text: str = "text
 
     ``labels`` (doc_id, quality, toxic) is one more labeller of unknown
     accuracy, and all its rows vote.  Null and empty texts are
-    judged by their shape like any other; repeated rows are rows of their own;
+    judged by their shape like any other; texts of any length are read whole;
+    repeated rows are rows of their own;
     an empty table gives no rows; other columns are ignored.
     """
     spark = session_of(docs)
@@ -235,7 +294,11 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, text: str = "text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; columns and texts are unchanged."""
+    """``docs`` without the rows that the classifier rejects; columns and texts are unchanged.
+
+    Null and empty texts are judged by their shape, repeated rows alike; an
+    empty table stays empty.
+    """
     spark = session_of(docs)
     model = spark.sparkContext.broadcast(train(docs, labels, text, doc_id, sample))
     own = [f"_k{i}" for i in range(len(docs.columns))]

@@ -356,3 +356,106 @@ def test_embeddings(spark, block, monkeypatch):
     got = sorted(tuple(r) for r in embeddings.embedding_dedup(stored(df)).collect())
     assert got == plain_links(rows)
     assert embeddings.embedding_dedup(df.where("false")).count() == 0
+
+
+def test_em_equals_plain_em():
+    """``weigh`` against the same model written as loops over documents."""
+    import math
+    import random
+
+    rng = random.Random(2)
+    votes = [tuple(rng.choice((0, 1, 2)) for _ in range(3)) for _ in range(400)]
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    rate, table = 0.2, [[[0.5, 0.1, 0.4]] * 3, [[0.1, 0.5, 0.4]] * 3]
+    post = [0.0] * len(votes)
+    for _ in range(100):
+        new = []
+        for v in votes:
+            good, bad = (math.prod(table[c][k][x] for k, x in enumerate(v)) * p for c, p in ((0, 1 - rate), (1, rate)))
+            new.append(bad / (good + bad))
+        for c in (0, 1):
+            table[c] = []
+            for k in range(3):
+                n = [1.0] * 3
+                for v, p in zip(votes, new, strict=True):
+                    n[v[k]] += p if c else 1 - p
+                table[c].append([x / sum(n) for x in n])
+        rate = min(max(sum(new) / len(new), 1e-3), 0.9)
+        if max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-6:
+            break
+        post = new
+    got = dict(zip(map(tuple, patterns.tolist()), quality.weigh(patterns, counts.astype(float), 0.2), strict=True))
+    assert all(abs(got[v] - p) < 1e-6 for v, p in zip(votes, new, strict=True))
+
+
+def test_linear_scorer_equals_plain_steps():
+    rng = np.random.default_rng(3)
+    x = [np.sort(rng.choice(40, rng.integers(1, 9), False)) for _ in range(60)]
+    y = rng.random(60)
+    w, bias = quality.fit_linear(x, y, rounds=15)
+    v, b, g2, b2 = np.zeros(40), 0.0, np.full(40, 1e-8), 1e-8
+    for _ in range(15):
+        grad, total = np.zeros(40), 0.0
+        for own, t in zip(x, y, strict=True):
+            e = (1 / (1 + np.exp(-(v[own].sum() + b))) - t) / 60
+            grad[own] += e
+            total += e
+        g2 += grad**2
+        b2 += total**2
+        for k in range(40):
+            step = 0.3 / np.sqrt(g2[k])
+            z = v[k] - step * grad[k]
+            v[k] = np.sign(z) * max(abs(z) - step * 2e-4, 0)
+        b -= 0.3 * total / np.sqrt(b2)
+    assert np.allclose(w[:40], v, atol=1e-9) and not w[40:].any() and abs(bias - b) < 1e-9
+
+
+def test_labels_teach_the_lexicon(spark):
+    """Stems that only labelled toxic documents hold reject others that hold them; the word list knows none of these."""
+    import random
+
+    rng = random.Random(4)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    bad = lambda: rng.choice(("zaxquo", "kevvix")) + rng.choice(syllables)
+    rows = []
+    for i in range(1200):
+        words = [word() for _ in range(rng.randint(20, 60))]
+        toxic = i % 6 == 0
+        for _ in range(4 if toxic else 0):
+            words.insert(rng.randrange(len(words)), bad())
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.where("doc_id % 3 <> 1").select("doc_id", F.lit(1).alias("quality"), "toxic")
+    got = {r.doc_id: r.kept for r in quality.classify(df, labels).collect()}
+    apart = [(i, t) for i, _, t in rows if i % 3 == 1]
+    assert all(not got[i] for i, t in apart if t) or sum(not got[i] for i, t in apart if t) > 0.95 * sum(t for _, t in apart)
+    assert sum(got[i] for i, t in apart if not t) > 0.98 * sum(not t for _, t in apart)
+    assert quality.learn_lexicon(df, labels.where("toxic = 0"), "text", "doc_id") == frozenset() == quality.learn_lexicon(df, None, "text", "doc_id")
+
+
+def test_fold_equals_plain_rounding(spark):
+    """The fold of a bucket against pivotal rounding written as a loop: pairs move mass until one has none or all."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(12):
+        items = [(i, i, float(rng.randint(1, 9)), 0, 0.0, rng.random(), i) for i in range(rng.randint(1, 20))]
+        items = [(*x[:4], x[2] * rng.uniform(0.01, 0.99), *x[5:]) for x in items]
+        done, rest = {}, list(items[0])
+        for x in map(list, items[1:]):
+            a, b = rest[4], x[4]
+            grow, shrink = min(rest[2] - a, b), min(a, x[2] - b)
+            if x[5] * (grow + shrink) < shrink:
+                rest[4], x[4] = a + grow, b - grow
+            else:
+                rest[4], x[4] = a - shrink, b + shrink
+            full = lambda z: abs(z[4]) < 1e-12 or abs(z[4] - z[2]) < 1e-12
+            out, keep = (rest, x) if full(rest) else (x, rest)
+            done[out[0]] = out[4]
+            rest = keep
+        kind = "array<struct<doc_id:long,h:long,size:double,whole:long,mass:double,u:double,row:long>>"
+        got = spark.createDataFrame([(items,)], f"b {kind}").select(F.expr(mixing.fold("b")).alias("f")).first().f
+        assert {d.doc_id: pytest.approx(d.mass, abs=1e-9) for d in got.done} == done
+        assert got.rest.doc_id == rest[0] and abs(got.rest.mass - rest[4]) < 1e-9
+        assert abs(sum(d.mass for d in got.done) + got.rest.mass - sum(x[4] for x in items)) < 1e-9
