@@ -3,8 +3,8 @@
 Base spans follow fixed patterns.  High-recall generators propose further,
 overlapping candidates: parts of failed base matches, numbers without a plus
 sign, obfuscated addresses.  Trees learn from format and context what separates
-valid base spans from candidates that break their kind's rule; a held-out third
-of the sample calibrates one threshold a kind.
+valid base spans from candidates that break their kind's rule; the documents of
+a third of the sample are held out and calibrate one threshold a kind.
 """
 
 from __future__ import annotations
@@ -133,13 +133,13 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-_CANDIDATE = "h long, kind string, ok boolean, x array<float>"
+_CANDIDATE = "h long, doc long, kind string, ok boolean, x array<float>"
 
 
 def _propose(batches):
     """The candidates of a partition with their weak labels."""
     for batch in batches:
-        h, kinds, ok, x = [], [], [], []
+        h, of, kinds, ok, x = [], [], [], [], []
         for key, text in zip(batch["h"].to_pylist(), batch["_text"].to_pylist(), strict=True):
             if not text:
                 continue
@@ -149,10 +149,11 @@ def _propose(batches):
                 # a proposal of valid form outside the base spans is what the trees shall judge
                 if (kind, s, e) in sure or not valid(kind, text[s:e]):
                     h.append((key + n * 0x9E3779B97F4A7C15) % 2**63)
+                    of.append(key)
                     kinds.append(kind)
                     ok.append((kind, s, e) in sure)
                     x.append(features(text, kind, s, e))
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kinds, pa.string()), pa.array(ok, pa.bool_()), pa.array(x, pa.list_(pa.float32()))], names=["h", "kind", "ok", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(of, pa.int64()), pa.array(kinds, pa.string()), pa.array(ok, pa.bool_()), pa.array(x, pa.list_(pa.float32()))], names=["h", "doc", "kind", "ok", "x"])
 
 
 def train(docs: DataFrame, text: str, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[gbdt.Trees | None, dict[str, float]]:
@@ -161,11 +162,11 @@ def train(docs: DataFrame, text: str, sample: int = SAMPLE, precision: float = P
     proposed = stored(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).mapInArrow(_propose, _CANDIDATE))
     total = proposed.count()
     part = proposed if total <= sample else proposed.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
-    rows = part.orderBy("h", "kind", "ok", "x").limit(2 * sample).toPandas()
+    rows = part.orderBy("h", "doc", "kind", "ok", "x").limit(2 * sample).toPandas()
     if len(rows) < 50 or rows["ok"].nunique() < 2:
         return None, {}
     x, y = np.stack(rows["x"].to_numpy()), rows["ok"].to_numpy().astype(float)
-    held = rows["h"].to_numpy() % 3 == 0
+    held = rows["doc"].to_numpy() % 3 == 0
     trees = gbdt.fit(x[~held], y[~held])
     margin, limits = trees.margin(x[held]), {}
     for kind in KINDS:
@@ -175,7 +176,7 @@ def train(docs: DataFrame, text: str, sample: int = SAMPLE, precision: float = P
         right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= precision)
         if len(good):
-            # halfway between the last accepted value and what falls below, at least even odds
+            # the lowest margin that keeps the precision, at least even odds
             limits[kind] = max(0.0, float(m[order][good[-1]]))
     return trees, limits
 
@@ -251,7 +252,11 @@ def _redact(model, column: str):
 
 
 def redact_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with every span of personal data replaced by [KIND]; other columns and clean texts are unchanged."""
+    """``docs`` with every span of personal data replaced by [KIND]; other columns and clean texts are unchanged.
+
+    Null and empty texts stay; texts of any length are read whole; repeated rows
+    are changed alike; an empty table stays empty.
+    """
     spark = session_of(docs)
     model = spark.sparkContext.broadcast(train(docs, text, sample))
     return docs.mapInArrow(_redact(model, text), docs.schema)
