@@ -100,6 +100,22 @@ def numbered(calls: DataFrame, order: list[str], partition: list[str]) -> DataFr
     return calls.withColumn("k", F.row_number().over(W.partitionBy(*partition).orderBy(*order)) - 1)
 
 
+def numbered_in_ranges(calls: DataFrame, order: str, partition: list[str], ranges: int = 64) -> DataFrame:
+    """``numbered`` for few large partitions: ranges of the number ``order`` are counted, then numbered on their own.
+
+    Ranges are of equal width, so that no task sorts a whole partition; null
+    orders come first.
+    """
+    low, high = calls.agg(F.min(order), F.max(order)).first()
+    place = F.lit(0) if low is None or low == high else F.floor((F.col(order) - low) * ((ranges - 1) / (high - low))).cast("int")
+    rows = calls.withColumn("_range", F.coalesce(place, F.lit(-1)))
+    counts = rows.groupBy(*partition, "_range").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy(*partition).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    joined = rows.join(_rules(counts.select(*partition, "_range", before.alias("_before"))), [*partition, "_range"])
+    k = F.row_number().over(W.partitionBy(*partition, "_range").orderBy(order)) - 1 + F.col("_before")
+    return joined.withColumn("k", k).drop("_range", "_before")
+
+
 def round_robin(k: Column, n: Column, start: int = 0) -> Column:
     """Index of the pick; balancers start at 0, pickers at 1."""
     return F.pmod(k + start, n)

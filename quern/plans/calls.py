@@ -50,7 +50,7 @@ def balance_round_robin(spark, sf_dir):
   SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS k FROM orders JOIN customer ON o_custkey = c_custkey) o JOIN r ON r.g = o.g AND o.k % r.total >= r.low AND o.k % r.total < r.low + r.w""")
 def balance_weighted(spark, sf_dir):
     calls = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("g")), F.col("o_custkey") == F.col("c_custkey"))
-    calls = routing.numbered(calls.select("o_orderkey", "g"), ["o_orderkey"], ["g"])
+    calls = routing.numbered_in_ranges(calls.select("o_orderkey", "g"), "o_orderkey", ["g"])
     targets = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), "s_suppkey", (F.col("s_suppkey") % 4).alias("w"))
     return routing.weighted(calls, targets, "k", "g", "s_suppkey", "w").select("o_orderkey", "s_suppkey")
 

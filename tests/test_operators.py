@@ -201,3 +201,14 @@ def test_resolvers(spark):
     asked = [(1, "a:7"), (2, "dns:///a"), (3, "dns:///b"), (4, "x://y/z"), (5, ""), (6, "dns:///[::2]:9"), (7, "dns:///256.1.1.1")]
     got = known.resolve(spark.createDataFrame(asked, "id int, t string"), "t", "53").collect()
     assert sorted((r.id, r.addr or r.error) for r in got) == [(1, "a:7"), (2, "1.2.3.4:53"), (2, "[::1]:53"), (3, "no addresses"), (4, "unknown scheme x"), (5, "empty target"), (6, "[::2]:9"), (7, "no addresses")]
+
+
+def test_numbers_in_ranges(spark):
+    from quern.operators import routing
+
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), k) for k in rng.sample(range(-500, 100_000), 400)] + [("c", 7)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    got = {(r.g, r.o): r.k for r in routing.numbered_in_ranges(df, "o", ["g"]).collect()}
+    assert got == {(r.g, r.o): r.k for r in routing.numbered(df, ["o"], ["g"]).collect()}
+    assert routing.numbered_in_ranges(df.where("false"), "o", ["g"]).count() == 0 and routing.numbered_in_ranges(df.where("o = 7"), "o", ["g"]).first().k == 0
