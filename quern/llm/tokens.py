@@ -30,6 +30,50 @@ def pre_tokens(text: str) -> list[str]:
     return _PIECES.findall("▁" + text.replace(" ", "▁")) if text else []
 
 
+def _message(data: bytes):
+    """(field, value) of a protocol buffers message: numbers, or the bytes of what has a length."""
+    at = 0
+
+    def number():
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, number()
+            continue
+        size = number() if kind == 2 else 8 if kind == 1 else 4
+        yield tag >> 3, data[at : at + size]
+        at += size
+
+
+def check_model(model: str) -> None:
+    """ValueError unless counts of pre-tokens add up under ``model``.
+
+    Its normaliser must be the identity with a space put in front, spaces kept
+    and written as U+2581, and no piece may go on after a word and a space.
+    """
+    with open(model, "rb") as f:
+        fields = list(_message(f.read()))
+    # Field numbers of the model file (pieces 1, training 2, normaliser 3) and inside them
+    pieces = [dict(_message(v)) for k, v in fields if k == 1]
+    trainer = dict(x for k, v in fields if k == 2 for x in _message(v))
+    rules = dict(x for k, v in fields if k == 3 for x in _message(v))
+    if rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1) or trainer.get(24, 0):
+        raise ValueError("the model changes texts before it cuts them")
+    if any(re.search("[^▁]▁", p.get(1, b"").decode("utf-8", "replace")) for p in pieces):
+        raise ValueError("a piece of the model crosses a space")
+
+
 def _distinct(batches):
     seen: Counter = Counter()
     for batch in batches:
@@ -90,8 +134,9 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", doc_id: str =
     text has the tokens of its spaces; repeated rows are rows of their own; an
     empty table gives no rows; other columns are ignored.  ``model`` must be
     readable at the same path on every executor (it belongs to an installed
-    package).  The model's normaliser must be the identity.
+    package).  ``check_model`` says which models will do; others are refused.
     """
+    check_model(model)
     spark = session_of(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     words = stored(rows.select("text").mapInArrow(_distinct, "p string, df long").groupBy("p").agg(F.sum("df").alias("df")).mapInArrow(_pieces(model), "p string, df long, n long"))

@@ -252,6 +252,23 @@ def test_token_counts(spark, docs):
     assert tokens.token_counts(df.where("false"), path).count() == 0
 
 
+def test_models_that_do_not_add_up_are_refused(tmp_path):
+    import public_tokenizers
+
+    tokens.check_model(public_tokenizers.path("piece_bpe_32k.model"))
+    text = lambda k, b: bytes([k << 3 | 2, len(b)]) + b
+    number = lambda k, n: bytes([k << 3, n])
+    plain = number(4, 0)
+    for pieces, rules, fine in (([b"\xe2\x96\x81a"], plain, True), ([b"a\xe2\x96\x81b"], plain, False), ([b"a"], plain + text(2, b"map"), False), ([b"a"], b"", False), ([b"a"], plain + number(3, 0), False)):
+        path = tmp_path / "x.model"
+        path.write_bytes(b"".join(text(1, text(1, p)) for p in pieces) + text(3, rules))
+        if fine:
+            tokens.check_model(str(path))
+        else:
+            with pytest.raises(ValueError):
+                tokens.check_model(str(path))
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
