@@ -10,6 +10,8 @@ from quern.sources import compress
 
 #: Payload bytes that a frame may have.
 LIMIT = 4 << 20
+#: Bytes that the frames of one session may have together to be put into one row.
+BODY = 256 << 20
 
 
 def open_sessions(opens: DataFrame, registry: DataFrame, connection: str = "conn_id", order: str = "seq", draining: Column | None = None) -> DataFrame:
@@ -57,14 +59,20 @@ def match_requests(requests: DataFrame, responses: DataFrame, on: list[str]) ->
     return requests.join(responses, on, "left")
 
 
-def reassemble(frames: DataFrame, session: str, seq: str, payload: str, end: str | None = None, joiner: str = "") -> DataFrame:
-    """(session, n, body): payloads in order up to the first end frame; an empty end frame adds nothing."""
+def reassemble(frames: DataFrame, session: str, seq: str, payload: str, end: str | None = None, joiner: str = "", most: int = BODY) -> DataFrame:
+    """(session, n, body): payloads in order up to the first end frame; an empty end frame adds nothing.
+
+    A session of over ``most`` bytes is counted, but its payloads are not
+    gathered: its body is null.
+    """
     rows = frames
     if end:
         before = F.coalesce(F.sum(F.col(end).cast("int")).over(W.partitionBy(session).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         rows = rows.withColumn("_before", before).where("_before = 0").where(~F.coalesce(F.col(end), F.lit(False)) | (F.octet_length(payload) > 0))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(payload).alias("p"))))
-    return rows.groupBy(session).agg(F.count("*").alias("n"), F.array_join(F.transform(parts, lambda x: x["p"]), joiner).alias("body"))
+    rows = rows.withColumn("_fits", F.coalesce(F.sum(F.octet_length(payload).cast("long")).over(W.partitionBy(session)), F.lit(0)) <= most)
+    parts = F.array_sort(F.collect_list(F.when(F.col("_fits"), F.struct(F.col(seq).alias("s"), F.col(payload).alias("p")))))
+    body = F.when(F.bool_and("_fits"), F.array_join(F.transform(parts, lambda x: x["p"]), joiner))
+    return rows.groupBy(session).agg(F.count("*").alias("n"), body.alias("body"))
 
 
 def not_cancelled(frames: DataFrame, cancels: DataFrame, session: str) -> DataFrame:

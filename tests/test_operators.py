@@ -212,3 +212,10 @@ def test_numbers_in_ranges(spark):
     got = {(r.g, r.o): r.k for r in routing.numbered_in_ranges(df, "o", ["g"]).collect()}
     assert got == {(r.g, r.o): r.k for r in routing.numbered(df, ["o"], ["g"]).collect()}
     assert routing.numbered_in_ranges(df.where("false"), "o", ["g"]).count() == 0 and routing.numbered_in_ranges(df.where("o = 7"), "o", ["g"]).first().k == 0
+
+
+def test_large_sessions_are_not_gathered(spark):
+    df = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd"), (2, 0, "x"), (None, 0, "y"), (3, 0, None)], "c long, s long, p string")
+    got = {r.c: (r.n, r.body) for r in frames.reassemble(df, "c", "s", "p", joiner="-", most=3).collect()}
+    assert got == {1: (2, None), 2: (1, "x"), None: (1, "y"), 3: (1, "")}
+    assert {r.c: r.body for r in frames.reassemble(df, "c", "s", "p", joiner="-").collect()}[1] == "ab-cd"
