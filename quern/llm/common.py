@@ -52,6 +52,17 @@ def drop_scratch(spark: SparkSession) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it is smaller than what one task may read.
+
+    A small file is one row group, which one task would read and work on alone.
+    """
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < limit else df
+
+
 #: Bits of a row number that count rows of one file.
 ROW_BITS = 40
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, stored
+from .common import session_of, spread, stored
 from .winnow import Hashes, mix
 
 #: Bytes of benchmark text whose windows one broadcast may hold (about ten times that in memory); larger benchmarks go in several passes.
@@ -152,7 +152,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_t
     total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     source = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
-    out = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n"), F.array().cast(_OUT).alias("_spans"), F.array().cast("array<string>").alias("_items"))
+    out = spread(docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).cast("binary").alias("_text")))
+    out = out.select("*", F.lit(0).cast("long").alias("_n"), F.array().cast(_OUT).alias("_spans"), F.array().cast("array<string>").alias("_items"))
     for b in range(blocks):
         rows = source.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).where("t is not null").collect()
         block = spark.sparkContext.broadcast(Windows([(r.i, bytes(r.t)) for r in rows], n))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, stored
+from .common import session_of, spread, stored
 
 #: Buckets that n-grams are hashed into (16 bits), and the n-grams' lengths.
 BUCKETS = 1 << 16
@@ -121,7 +121,7 @@ def train(docs: DataFrame, text: str, lang: str, lengths: tuple[int, ...] = LENG
     language's log probabilities by bucket as float32.
     """
     session_of(docs)
-    rows = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = spread(docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang")))
     sums = rows.mapInArrow(_counts(lengths), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     model = stored(sums.groupBy("lang").applyInArrow(_columns, "lang string, docs long, log binary"))
     facts = model.select("lang", "docs").collect()
@@ -176,7 +176,8 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str
     spark = session_of(docs)
     langs, model = train(training, text, lang, lengths)
     low = F.lit(float("-inf"))
-    rows = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"), F.lit("und").alias("lang_pred"), low.alias("_best"), low.alias("_sum"))
+    rows = spread(docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text")))
+    rows = rows.select("*", F.lit("und").alias("lang_pred"), low.alias("_best"), low.alias("_sum"))
     for at in range(0, len(langs), LANGUAGES):
         block = spark.sparkContext.broadcast(_block(model, langs[at : at + LANGUAGES]))
         rows = rows.mapInArrow(_predict(block, lengths), rows.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import session_of, stored
+from .common import session_of, spread, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the driver gathers to fit the trees, and the precision a threshold must keep.
@@ -159,7 +159,7 @@ def _propose(batches):
 def train(docs: DataFrame, text: str, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[gbdt.Trees | None, dict[str, float]]:
     """(trees, margin threshold of each kind) from a hash sample of at most about ``sample`` candidates."""
     session_of(docs)
-    proposed = stored(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text")).mapInArrow(_propose, _CANDIDATE))
+    proposed = stored(spread(docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("_text"))).mapInArrow(_propose, _CANDIDATE))
     total = proposed.count()
     part = proposed if total <= sample else proposed.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
     rows = part.orderBy("h", "doc", "kind", "ok", "x").limit(2 * sample).toPandas()
@@ -227,7 +227,7 @@ def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     """
     spark = session_of(docs)
     model = spark.sparkContext.broadcast(train(docs, text, sample))
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = spread(docs.select(*keep, F.col(text).alias("_text")))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + "".join(f", n_{k} long" for k in KINDS) + ", base string, spans string"
     return rows.mapInArrow(_find(model), out)
 
@@ -259,4 +259,4 @@ def redact_pii(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Dat
     """
     spark = session_of(docs)
     model = spark.sparkContext.broadcast(train(docs, text, sample))
-    return docs.mapInArrow(_redact(model, text), docs.schema)
+    return spread(docs).mapInArrow(_redact(model, text), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, small, stored
+from .common import session_of, small, spread, stored
 
 #: Documents that fit the scorer, and labelled ones that teach the lexicon, at most; hashed features.
 SAMPLE = 8_000
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str, sam
         return None
     # a share of all hashes: about ``sample`` documents wherever they lie
     threshold = None if total <= sample else int(2**63 * sample / total)
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).bitwiseAND(F.lit(2**63 - 1)).alias("h"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).bitwiseAND(F.lit(2**63 - 1)).alias("h"), F.col(text).alias("text")))
     kind = docs.schema[doc_id].dataType.simpleString()
     lexicon = learn_lexicon(docs, labels, text, doc_id)
     seen = stored(_labelled(rows.mapInArrow(_scan(threshold, lexicon), f"id {kind}, h long, q string, t string, x array<int>"), labels))
@@ -287,7 +287,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, text: str = "text
     """
     spark = session_of(docs)
     model = spark.sparkContext.broadcast(train(docs, labels, text, doc_id, sample))
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = spread(docs.select(*keep, F.col(text).alias("_text")))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", _low double, _toxic double"
     scored = rows.mapInArrow(_score(model), out)
     return scored.select(*keep, F.col("_low").alias("p_low"), F.col("_toxic").alias("p_toxic"), ((F.col("_low") < REJECT_LOW) & (F.col("_toxic") < REJECT_TOXIC)).alias("kept"))
@@ -303,6 +303,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None = None, text: str = "tex
     model = spark.sparkContext.broadcast(train(docs, labels, text, doc_id, sample))
     own = [f"_k{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[F.col(c).alias(k) for k, c in zip(own, docs.columns, strict=True)], F.col(text).alias("_text"))
+    rows = spread(rows)
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", _low double, _toxic double"
     good = rows.mapInArrow(_score(model), out).where((F.col("_low") < REJECT_LOW) & (F.col("_toxic") < REJECT_TOXIC))
     return good.select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns, strict=True)])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix, winnow
-from .common import numbered, session_of, stored
+from .common import numbered, session_of, spread, stored
 
 #: Bytes of context text in one suffix-array shard, contexts of one gram that a shard may hold, and shards of a task.
 SHARD_BYTES = 600_000
@@ -228,6 +228,7 @@ def remove_repeats(docs: DataFrame, text: str, doc_id: str, unit: str, n: int, k
     """(id, n, gone, spans, kept): one row per row of ``docs``; see the module."""
     session_of(docs)
     rows = numbered(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")))
+    rows = spread(rows)
     found = stored(rows.select("row", "text").mapInArrow(_runs(unit, n, k), "row long, s int, e int, a int, g long, c long"))
     grams = found.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("m > 1")
     # stored, so that both sides of the join are plain exchanges whose skewed partitions can be split

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, numbered, session_of, stored
+from .common import components, numbered, session_of, spread, stored
 
 #: Fingerprints that the driver samples to plan the search.
 SAMPLE = 3000
@@ -170,7 +170,7 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     are ignored.
     """
     session_of(docs)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text")))
     found = stored(rows.mapInArrow(_fingerprints(shingle), "doc_id long, _print long").withColumnRenamed("_print", "fp"))
     prints = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = components(links(prints.select("fp"), radius))
@@ -190,7 +190,7 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     session_of(docs)
     rows = numbered(docs, "__quern_row")
     row = rows.select(F.col("__quern_row").alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
-    found = stored(row.mapInArrow(_fingerprints(shingle), "_row long, _id long, _print long"))
+    found = stored(spread(row).mapInArrow(_fingerprints(shingle), "_row long, _id long, _print long"))
     prints = stored(found.groupBy("_print").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("least")))
     groups = components(links(prints.select(F.col("_print").alias("fp")), radius))
     return first_of_groups(rows, prints.withColumnRenamed("_print", "key"), groups)

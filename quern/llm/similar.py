@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, numbered, session_of, small, stored
+from .common import components, numbered, session_of, small, spread, stored
 from .simhash import bits_of, first_of_groups, links, shingle_hashes
 
 #: Bits that the fingerprints of candidates of the first pass differ in at most.
@@ -138,7 +138,7 @@ def similar_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     session_of(docs)
     rows = numbered(docs, "__quern_row")
     row = rows.select(F.col("__quern_row").alias("_row"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("binary").alias("_text"))
-    found = stored(row.mapInArrow(_heads(shingle), "_row long, _id long, _key long, _n long, _print long, _head array<long>"))
+    found = stored(spread(row).mapInArrow(_heads(shingle), "_row long, _id long, _key long, _n long, _print long, _head array<long>"))
     keys = stored(found.groupBy(F.col("_key").alias("key")).agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("least"), F.max("_n").alias("n"), F.max("_print").alias("fp"), F.count("*").alias("copies")))
     heads = found.select("_key", F.explode("_head").alias("h"))
     paired = stored(heads.groupBy("h").agg((F.min("_key") != F.max("_key")).alias("two")).where("two").select("h"))

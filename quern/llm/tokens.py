@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_of, stored
+from .common import session_of, spread, stored
 
 #: Pre-tokens broadcast at most (their lengths are bounded too: about 10 MB in all).
 HEAD = 100_000
@@ -138,7 +138,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", doc_id: str =
     """
     check_model(model)
     spark = session_of(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = spread(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")))
     words = stored(rows.select("text").mapInArrow(_distinct, "p string, df long").groupBy("p").agg(F.sum("df").alias("df")).mapInArrow(_pieces(model), "p string, df long, n long"))
     short = words.where(F.octet_length("p") <= HEAD_BYTES)
     # the least document frequency (to an eighth of a doubling) that at most ``head`` pre-tokens reach
