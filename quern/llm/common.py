@@ -59,7 +59,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if size < limit else df
 
 
