@@ -12,8 +12,8 @@ insults and a lexicon of words and stems that labelled documents teach.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import sys
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session_of, small, spread, stored
+from .winnow import Hashes, mix
 
 #: Documents that fit the scorer, and labelled ones that teach the lexicon, at most; hashed features.
 SAMPLE = 8_000
@@ -39,31 +40,100 @@ REJECT_TOXIC = 0.25
 # Insults that mark toxic text.
 INSULTS = frozenset("idiot moron stupid worthless disgusting pathetic trash clown scum loser dumb jerk fool imbecile bastard idiota imbécil estúpido basura idiote imbécile stupide ordure dummkopf trottel abschaum blödmann".split())
 
-_WORD = re.compile(r"\w+")
-_MARKS = re.compile(r"[^\w\s]+")
 GOOD, BAD, NONE = 0, 1, 2
 
 
+SPACE, WORD, ALNUM, UPPER, LOWER = 1, 2, 4, 8, 16
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: flags (white space, part of a word, letter or digit, capital, other cased letter), and a hash."""
+    chars = list(map(chr, range(sys.maxunicode + 1)))
+    of = lambda f, flag: np.fromiter(map(f, chars), bool, len(chars)) * np.uint8(flag)
+    flags = of(str.isspace, SPACE) | of(str.isalnum, WORD | ALNUM) | of(str.isupper, UPPER) | of(lambda c: c.islower() or c.istitle() and not c.isupper(), LOWER)
+    flags[ord("_")] |= WORD
+    return flags, mix(np.arange(1, len(chars) + 1, dtype=np.uint64))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[start, end) of the runs of true."""
+    step = np.diff(np.r_[0, inside.view(np.int8), 0])
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _hashes(points: np.ndarray) -> Hashes:
+    return Hashes(_classes()[1][points])
+
+
+def _kinds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the hashes, which of the ordered ones are new)."""
+    order = np.argsort(h)
+    h = h[order]
+    return order, np.r_[True, h[1:] != h[:-1]]
+
+
 def shape(text: str) -> dict[str, float]:
-    """Statistics of a text that the labellers and the scorer look at."""
-    words = text.split()
-    n = max(len(words), 1)
-    counts = Counter(words)
+    """Statistics of a text that the labellers and the scorer look at; words are what white space parts."""
+    points = _points(text)
+    flags = _classes()[0][points]
+    start, end = _runs(flags & SPACE == 0)
+    total = len(start)
+    n = max(total, 1)
+    visible = max(int((end - start).sum()), 1)
     lines = [x for x in text.split("\n") if x.strip()]
-    visible = max(sum(map(len, words)), 1)
-    marks = sum(map(len, _MARKS.findall(text)))
+    top, pairs, shouted, short = 0, 0, 0, 0
+    if total:
+        h = _hashes(points).of(start, end)
+        first = np.flatnonzero(_kinds(h)[1])
+        top = int(np.diff(np.r_[first, total]).max())
+        pairs = int(_kinds(mix(h[:-1]) + h[1:])[1].sum()) if total > 1 else 0
+        # only words that begin with a capital, or with no letter, can be all capitals
+        some = flags[start] & LOWER == 0
+        a, b = start[some], end[some]
+        ups, lows = (np.r_[0, np.cumsum(flags & k != 0)] for k in (UPPER, LOWER)) if len(a) else (np.zeros(1, int),) * 2
+        shouted = int(((ups[b] > ups[a]) & (lows[b] == lows[a])).sum()) if len(a) else 0
+        short = int((flags[start[end - start == 1]] & ALNUM == 0).sum())
     return {
-        "n": float(len(words)),
-        "top": max(counts.values(), default=0) / n,
-        "distinct": (len(set(zip(words, words[1:], strict=False))) + 1) / n,
-        "short": sum(1 for w in words if len(w) == 1 and not w.isalnum()) / n,
-        "marks": marks / visible,
-        "upper": sum(map(str.isupper, words)) / n,
+        "n": float(total),
+        "top": top / n,
+        "distinct": (pairs + 1) / n,
+        "short": short / n,
+        "marks": int(np.count_nonzero(flags & (SPACE | WORD) == 0)) / visible,
+        "upper": shouted / n,
         "lines": 1 - len(set(lines)) / max(len(lines), 1),
         "long": visible / n,
     }
 
 
+def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct lower-case words of a text, hashes of their stems in the same order)."""
+    points = _points(text.lower())
+    start, end = _runs(_classes()[0][points] & WORD != 0)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums = _hashes(points)
+    h = sums.of(start, end)
+    order, new = _kinds(h)
+    at = order[new]
+    stems = mix(sums.of(start[at], np.minimum(end[at], start[at] + STEM)) + np.uint64(1))
+    return h[at].view(np.int64), stems.view(np.int64)
+
+
+def among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``table``."""
+    return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x if len(table) else np.zeros(len(x), bool)
+
+
+@cache
+def _insults() -> np.ndarray:
+    return np.sort(terms(" ".join(INSULTS))[0])
+
+
 def quality_votes(s: dict[str, float], label: int | None = None) -> list[int]:
     """Each labeller knows one kind of junk and is silent on all others; one knows ordinary prose."""
     some = s["n"] >= 8
@@ -81,12 +151,15 @@ def quality_votes(s: dict[str, float], label: int | None = None) -> list[int]:
     ]
 
 
-def toxic_votes(words: set[str], lexicon: frozenset[int] = frozenset(), label: int | None = None) -> list[int]:
+NO_TERMS = np.zeros(0, np.int64)
+
+
+def toxic_votes(words: np.ndarray, stems: np.ndarray, lexicon: np.ndarray = NO_TERMS, label: int | None = None) -> list[int]:
     """A list of insults, a lexicon learned from labelled documents (one hit in a long text is chance), and the label."""
-    hits = sum(terms(w)[0] in lexicon or terms(w)[1] in lexicon for w in words) if lexicon else 0
+    hits = int((among(words, lexicon) | among(stems, lexicon)).sum())
     return [
-        BAD if not INSULTS.isdisjoint(words) else GOOD,
-        NONE if not lexicon else BAD if hits > max(1, 0.004 * len(words)) else NONE if hits else GOOD,
+        BAD if among(words, _insults()).any() else GOOD,
+        NONE if not len(lexicon) else BAD if hits > max(1, 0.004 * len(words)) else NONE if hits else GOOD,
         NONE if label is None else BAD if label == 1 else GOOD,
     ]
 
@@ -116,44 +189,36 @@ def weigh(patterns: np.ndarray, counts: np.ndarray, rate: float, rounds: int = 1
     return new
 
 
-class _Terms(dict):
-    """(hash of a word, hash of its stem), remembered for the words that texts share."""
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = found = (crc32(word.encode()), crc32(f"{word[:STEM]}*".encode()))
-        return found
-
-
-terms = _Terms().__getitem__
+@cache
+def _levels(key: str) -> np.ndarray:
+    return np.array([crc32(f"{key}>{i}".encode()) % FEATURES for i in range(41)])
 
 
-def hashed(words: set[str], s: dict[str, float]) -> list[int]:
-    """Feature numbers of a text: its distinct words and their stems, and every level that its shape reaches."""
-    found = {x % FEATURES for w in words for x in terms(w)}
+def hashed(words: np.ndarray, stems: np.ndarray, s: dict[str, float]) -> np.ndarray:
+    """Feature numbers of a text: its distinct words and stems, and every level that its shape reaches."""
+    stems = np.sort(stems)
+    parts = [words & (FEATURES - 1), stems[np.r_[True, stems[1:] != stems[:-1]]] & (FEATURES - 1)] if len(words) else []
     for k, v in s.items():
         level = int(np.log2(v + 1) * 2) if k in ("n", "long") else int(v * 20)
-        found.update(crc32(f"{k}>{i}".encode()) % FEATURES for i in range(min(level, 40) + 1))
-    return sorted(found)
+        parts.append(_levels(k)[: min(level, 40) + 1])
+    return np.concatenate(parts).astype(np.int32)
 
 
 def _distinct(batches):
-    """(term, toxic) of every distinct word and stem of labelled texts, summed over a partition."""
+    """(term, toxic, documents) of the distinct words and stems of labelled texts, summed over a batch."""
     for batch in batches:
-        count: dict[int, list[int]] = {}
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            for x in {x for w in set(_WORD.findall((text or "").lower())) for x in terms(w)}:
-                c = count.setdefault(x, [0, 0])
-                c[0] += toxic
-                c[1] += 1
-        yield pa.RecordBatch.from_pydict({"term": pa.array(count, pa.int64()), "t": pa.array([c[0] for c in count.values()], pa.int64()), "n": pa.array([c[1] for c in count.values()], pa.int64())})
+        own = [np.unique(np.concatenate(terms(t or ""))) for t in batch["text"].to_pylist()]
+        if not own:
+            continue
+        toxic = np.repeat(batch["toxic"].to_numpy(), [len(x) for x in own])
+        term, of = np.unique(np.concatenate(own), return_inverse=True)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "t": pa.array(np.bincount(of, toxic, len(term)).astype(np.int64)), "n": pa.array(np.bincount(of, minlength=len(term)).astype(np.int64))})
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str) -> frozenset[int]:
-    """Terms of labelled documents that are toxic far more often than chance; from about LABELLED documents at most."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str) -> np.ndarray:
+    """Sorted terms of labelled documents that are toxic far more often than chance; from about LABELLED documents at most."""
     if labels is None:
-        return frozenset()
+        return NO_TERMS
     own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     own = stored(own)
     total = own.count()
@@ -163,15 +228,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame | None, text: str, doc_id:
     seen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(own), F.col("_id") == F.col("_doc")).select("text", "toxic")
     size, bad = seen.agg(F.count("*"), F.sum("toxic")).first()
     if not bad or bad == size:
-        return frozenset()
+        return NO_TERMS
     rate = bad / size
     counts = seen.mapInArrow(_distinct, "term long, t long, n long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     beyond = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
     good = counts.where(f"t >= {LEAST} and t >= {SHARE} * n").withColumn("z", beyond).where(f"z >= {DEVIATIONS}")
-    return frozenset(r.term for r in good.orderBy(F.desc("z"), "term").limit(LEXICON).collect())
+    return np.sort(np.array([r.term for r in good.orderBy(F.desc("z"), "term").limit(LEXICON).collect()], np.int64))
 
 
-def _scan(threshold: int | None, lexicon: frozenset[int]):
+def _scan(threshold: int | None, lexicon: np.ndarray):
     """Vote patterns of every document before its labels are known; hashed features of the sampled ones (h below ``threshold``)."""
 
     def scan(batches):
@@ -179,11 +244,10 @@ def _scan(threshold: int | None, lexicon: frozenset[int]):
             q, t, x = [], [], []
             for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 text = text or ""
-                words = set(_WORD.findall(text.lower()))
-                s = shape(text)
+                words, s = terms(text), shape(text)
                 q.append("".join(map(str, quality_votes(s))))
-                t.append("".join(map(str, toxic_votes(words, lexicon))))
-                x.append(hashed(words, s) if threshold is None or h < threshold else None)
+                t.append("".join(map(str, toxic_votes(*words, lexicon))))
+                x.append(hashed(*words, s) if threshold is None or h < threshold else None)
             yield pa.RecordBatch.from_arrays([batch["id"], batch["h"], pa.array(q, pa.string()), pa.array(t, pa.string()), pa.array(x, pa.list_(pa.int32()))], names=["id", "h", "q", "t", "x"])
 
     return scan
@@ -244,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str, sam
         counts = seen.groupBy(column).count().orderBy(column).toPandas()
         patterns = np.array([[int(c) for c in p] for p in counts[column]])
         post = weigh(patterns, counts["count"].to_numpy().astype(float), rate)
-        if column == "t" and not lexicon:
+        if column == "t" and not len(lexicon):
             # accuracies cannot be told from one labeller: the label decides where there is one, else the list
             post = (np.where(patterns[:, -1] == NONE, patterns[:, 0], patterns[:, -1]) == BAD).astype(float)
         posterior[column] = dict(zip(counts[column], post, strict=True))
@@ -266,7 +330,7 @@ def _score(model):
                     tox.append(0.0)
                     continue
                 text = text or ""
-                x = np.array(hashed(set(_WORD.findall(text.lower())), shape(text)))
+                x = hashed(*terms(text), shape(text))
                 w, b, v, c = fitted
                 low.append(float(_logistic(w[x].sum() + b)))
                 tox.append(float(_logistic(v[x].sum() + c)))

@@ -17,5 +17,5 @@ def test_all_labels_vote(spark):
 
 def test_votes_follow_the_labellers():
     s = quality.shape("some plain words of prose")
-    assert quality.quality_votes(s)[-1] == quality.toxic_votes(["x"])[-1] == quality.NONE
+    assert quality.quality_votes(s)[-1] == quality.toxic_votes(*quality.terms("x"))[-1] == quality.NONE
     assert quality.quality_votes(s, 1)[:-1] == quality.quality_votes(s)[:-1]

@@ -448,7 +448,32 @@ def test_labels_teach_the_lexicon(spark):
     apart = [(i, t) for i, _, t in rows if i % 3 == 1]
     assert all(not got[i] for i, t in apart if t) or sum(not got[i] for i, t in apart if t) > 0.95 * sum(t for _, t in apart)
     assert sum(got[i] for i, t in apart if not t) > 0.98 * sum(not t for _, t in apart)
-    assert quality.learn_lexicon(df, labels.where("toxic = 0"), "text", "doc_id") == frozenset() == quality.learn_lexicon(df, None, "text", "doc_id")
+    assert not len(quality.learn_lexicon(df, labels.where("toxic = 0"), "text", "doc_id")) and not len(quality.learn_lexicon(df, None, "text", "doc_id"))
+
+
+def plain_shape(text):
+    words = text.split()
+    n, lines = max(len(words), 1), [x for x in text.split("\n") if x.strip()]
+    visible = max(sum(map(len, words)), 1)
+    return {
+        "n": float(len(words)), "top": max((words.count(w) for w in set(words)), default=0) / n, "distinct": (len(set(zip(words, words[1:], strict=False))) + 1) / n,
+        "short": sum(1 for w in words if len(w) == 1 and not w.isalnum()) / n, "marks": len(re.findall(r"[^\w\s]", text)) / visible, "upper": sum(map(str.isupper, words)) / n,
+        "lines": 1 - len(set(lines)) / max(len(lines), 1), "long": visible / n,
+    }
+
+
+def test_shape_and_terms_equal_plain_ones(docs):
+    import random
+
+    rng = random.Random(8)
+    odd = ["", " ", "A", "ǅ ǆ Ǆ x", "ÀÉ é_1 _ 9", "a\u3000b\x1fc\n\nd", "İstanbul ŞŞ", "😀 😀! (a)", "x" * 50_000, "A b\n" * 3000]
+    odd += ["".join(rng.choice("aB é\n\t._1Ǆ|😀") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    for text in odd + [r.text for r in docs.limit(40).collect()]:
+        assert quality.shape(text) == pytest.approx(plain_shape(text)), text
+        words = set(re.findall(r"\w+", text.lower()))
+        own, stems = quality.terms(text)
+        assert len(own) == len(words) and len(np.unique(stems)) == len({w[: quality.STEM] for w in words})
+        assert all(np.isin(quality.terms(w)[0], own).all() for w in list(words)[:5])
 
 
 def test_fold_equals_plain_rounding(spark):
