@@ -1,10 +1,17 @@
-"""DuckDB SQL for the queries that SQL can express: plain definitions, over whole tables.
-
-The byte windows of suffix_dedup are left to brute force in the tests: as SQL they take two minutes on 2.5 MB.
-"""
+"""DuckDB SQL for the queries that SQL can express: plain definitions, over whole tables."""
 
 _SHA = "lower(sha256({}))"
 
+SUFFIX_DEDUP = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+  w AS (SELECT r, i, md5(b[i:i + 399]) AS k FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)),
+  c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+  s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM w JOIN c USING (k)),
+  g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM s),
+  spans AS (SELECT r, min(i) AS a, max(i) + 399 AS e FROM g GROUP BY r, g),
+  cuts AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+  t AS (SELECT r, count(*) AS spans, sum(e - a + 1) AS gone, max(e) AS last, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS h FROM cuts JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, {_SHA.format("CASE WHEN h IS NULL THEN b ELSE unhex(h || hex(b[last + 1:octet_length(b)])) END")} AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+
 SUBSTRING_DEDUP = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
   w AS (SELECT r, i, ws[i] AS b, CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS k FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
   c AS (SELECT k, 1 AS twice FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),

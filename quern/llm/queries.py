@@ -75,6 +75,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_mix_sources, op4_language_id, op5_substring_dedup, op6_simhash, op7_token_counts, op8_pii, op9_quality, op10_embedding_dedup)}
 
 ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op5_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_embedding_dedup": oracles.EMBEDDINGS,
