@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .schema import Struct
-from .types import WIDTH, Ref, spark_type
+from .types import WIDTH, Ref, range_of, spark_type
 
 
 def zero(ref: Ref, structs: dict | None = None) -> Column:
@@ -135,3 +135,29 @@ def little_endian(data: Column, at: int, width: int) -> Column:
     h = F.hex(data)
     digits = F.concat(*[F.substring(h, 2 * (at + i) + 1, 2) for i in range(width - 1, -1, -1)])
     return F.conv(digits, 16, 10).cast("long")
+
+
+def put_little_endian(value: Column, scalar: str) -> Column:
+    """The bytes of an integer or bool in its wire width; null where the type cannot hold it."""
+    width, limits = WIDTH[scalar], range_of(scalar)
+    number = value.cast("long") if scalar != "uint64" else value
+    digits = F.lpad(F.hex(number.cast("long")), 16, "0")
+    if scalar == "uint64":
+        # upper half as what is left of two's complement
+        whole = value.cast("decimal(20,0)")
+        digits = F.lpad(F.hex(F.when(whole >= F.lit(str(1 << 63)).cast("decimal(20,0)"), whole - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole).cast("long")), 16, "0")
+    raw = F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 15 - 2 * width, -2)]))
+    return F.when(value.between(*[F.lit(str(x)).cast("decimal(20,0)") for x in limits]), raw) if limits else raw
+
+
+def get_little_endian(data: Column, scalar: str, at: int = 0) -> Column:
+    """The integer or bool of its wire width at 0-based ``at``; unsigned ones widen; null if the data is too short."""
+    width = WIDTH[scalar]
+    h = F.hex(data)
+    digits = F.concat(*[F.substring(h, 2 * (at + i) + 1, 2) for i in range(width - 1, -1, -1)])
+    number = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    limits = range_of(scalar)
+    if limits and limits[0] < 0:
+        number = F.when(number > limits[1], number - F.lit(str(1 << 8 * width)).cast("decimal(20,0)")).otherwise(number)
+    out = number != 0 if scalar == "bool" else number.cast(spark_type(Ref(scalar)))
+    return F.when(F.octet_length(data) >= at + width, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import resolving, routing
 from quern.shipping import new_folder
 from quern.sources import compress
-from quern.streaming import frames, sync
+from quern.streaming import control, frames, sync
 
 from .records import ORACLE, QUERIES, query
 from .tables import table
@@ -287,4 +287,23 @@ def interceptor_chain(spark, sf_dir):
     return routing.chain(table(spark, sf_dir, "events"), wrap, even, bracket).select("event_id", "name", "mark")
 
 
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(4 AS INTEGER) AS batches, CAST(4 AS INTEGER) AS started FROM events GROUP BY 1")
+def stream_limited_drain(spark, sf_dir):
+    """Events in four files, taken one file a batch by a running query that is drained and stopped."""
+    folder = new_folder(spark, "drain")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    for k in range(4):
+        e.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    source = control.limited(spark.readStream.schema(e.schema), 1).parquet(f"{folder}/in")
+    run = source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").start()
+    batches = control.drain(run)
+    out = spark.read.parquet(f"{folder}/out")
+    counts = out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return counts.withColumn("batches", F.lit(out.select("batch").distinct().count())).withColumn("started", F.lit(batches))
+
+
 __all__ = ["ORACLE", "QUERIES"]

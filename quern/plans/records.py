@@ -358,3 +358,22 @@ def field_offsets(spark, sf_dir):
     made = binary.encode_records(rows, SHOP, "Customer", keep=("Acctbal_offset", "Acctbal_size", "Mktsegment_offset", "n", "Custkey"))
     raw = F.substr("record", (F.col("Mktsegment_offset") + 9).cast("int"), "n").cast("string")
     return made.select(F.col("Custkey").alias("c_custkey"), F.col("Acctbal_offset").alias("acctbal_at"), F.col("Acctbal_size").alias("acctbal_size"), F.col("Mktsegment_offset").alias("segment_at"), F.when(F.col("n") > 0, raw).otherwise("").alias("segment"))
+
+
+def _le_bytes(x: str, width: int) -> str:
+    h = f"printf('%016x', CAST({x} AS BIGINT))"
+    return "upper(" + " || ".join(f"substr({h}, {i}, 2)" for i in range(15, 15 - 2 * width, -2)) + ")"
+
+
+@query(f"""SELECT o_orderkey, {_le_bytes('o_custkey', 8)} AS wide, {_le_bytes('o_custkey', 4)} AS four, {_le_bytes('o_orderkey % 256', 1)} AS one, CASE WHEN o_custkey <= 65535 THEN {_le_bytes('o_custkey', 2)} END AS two,
+  -CAST(o_custkey AS BIGINT) AS back, CAST(o_orderkey % 256 AS SMALLINT) AS small, o_orderkey % 2 = 1 AS odd FROM orders""")
+def fixed_width_numbers(spark, sf_dir):
+    """Integers and bools put as little-endian bytes, null where they do not fit, and got again with their sign."""
+    rows = orders(spark, sf_dir).select(F.col("Orderkey").alias("o_orderkey"), F.col("Custkey").cast("long").alias("c"))
+    k, c = F.col("o_orderkey"), F.col("c")
+    low = (k % 256).cast("long")
+    put, get = presence.put_little_endian, presence.get_little_endian
+    return rows.select(
+        "o_orderkey", F.hex(put(c, "int64")).alias("wide"), F.hex(put(c, "uint32")).alias("four"), F.hex(put(low, "uint8")).alias("one"), F.hex(put(c, "uint16")).alias("two"),
+        get(put(-c, "int64"), "int64").alias("back"), get(put(low, "uint8"), "uint8").alias("small"), get(put(k % 2 == 1, "bool"), "bool").alias("odd"),
+    )
