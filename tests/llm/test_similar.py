@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from quern.llm import similar
 
 
 def grams(text):
@@ -58,3 +61,18 @@ def test_driver_tables(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()) == kept(rows)
+
+
+def test_edges(spark):
+    """Nulls, repeated ids and rows, very long texts, clashing columns and the empty table."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (None, None), (3, "one two"), (3, "one two"), (4, long), (4, long + " more"), (None, "alone here"), (None, "alone here"), (5, "ONE two"), (6, "x y z w v u t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("n", "key", "fp", "s", "h", "g", "u", "v", "c", "least", "row", "_row"):
+        df = df.withColumn(name, F.lit("clash"))
+    out = similar.similar_dedup(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, (r.text or "")[:10]) for r in out.collect()), key=str)
+    assert [x for x in got if x[0] != 4] == sorted([(1, ""), (3, "one two"), (None, "alone here"), (6, "x y z w v ")], key=str) and sum(i == 4 for i, _ in got) == 1
+    assert similar.similar_dedup(df.where("false")).count() == 0
+    assert similar.similar_dedup(df.where("text is null")).count() == 1
