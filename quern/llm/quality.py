@@ -257,26 +257,40 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(x: list[np.ndarray], y: np.ndarray, rounds: int = 120, rate: float = 0.3, sparse: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_linear(index: np.ndarray, size: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.3, sparse: float = 2e-4) -> tuple[np.ndarray, float]:
     """(weights, bias) of a logistic scorer over present features: full-batch AdaGrad with an L1 proximal step.
 
-    The L1 term keeps the many neutral words of a long text at zero.
+    ``index`` lists the features of each document, ``size`` many of them.  The
+    L1 term keeps the many neutral words of a long text at zero, and what is too
+    rare ever to leave zero is left out from the start.
     """
-    index = np.concatenate(x)
-    size = np.array([len(a) for a in x])
-    row = np.repeat(np.arange(len(x)), size)
-    start = np.cumsum(size) - size
-    w, bias, g2, b2 = np.zeros(FEATURES), 0.0, np.full(FEATURES, 1e-8), 1e-8
+    count = np.bincount(index, minlength=FEATURES)
+    own = np.flatnonzero(count > sparse * len(y))
+    place = np.full(FEATURES, -1, np.int32)
+    place[own] = np.arange(len(own))
+    small = place[index]
+    row = np.repeat(np.arange(len(y), dtype=np.int32), size)[small >= 0]
+    small = small[small >= 0]
+    w, bias, g2, b2 = np.zeros(len(own)), 0.0, np.full(len(own), 1e-8), 1e-8
+    # so many features at once, to bound the memory of a round
+    cuts = [*range(0, len(small), 1 << 20), len(small)]
     for _ in range(rounds):
-        e = (_logistic(np.add.reduceat(w[index], start) + bias) - y) / len(y)
-        g = np.bincount(index, e[row], FEATURES)
+        total = np.zeros(len(y))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            total += np.bincount(row[a:b], w[small[a:b]], len(y))
+        e = (_logistic(total + bias) - y) / len(y)
+        g = np.zeros(len(own))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            g += np.bincount(small[a:b], e[row[a:b]], len(own))
         g2 += g**2
         b2 += e.sum() ** 2
         step = rate / np.sqrt(g2)
         w -= step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
         bias -= rate * e.sum() / np.sqrt(b2)
-    return w, bias
+    weights = np.zeros(FEATURES)
+    weights[own] = w
+    return weights, bias
 
 
 Model = tuple[np.ndarray, float, np.ndarray, float] | None
@@ -312,11 +326,14 @@ def train(docs: DataFrame, labels: DataFrame | None, text: str, doc_id: str, sam
             # accuracies cannot be told from one labeller: the label decides where there is one, else the list
             post = (np.where(patterns[:, -1] == NONE, patterns[:, 0], patterns[:, -1]) == BAD).astype(float)
         posterior[column] = dict(zip(counts[column], post, strict=True))
-    fitted = seen.where("x is not null").orderBy("h", "q", "t").limit(2 * sample).toPandas()
+    fitted = seen.where("x is not null").orderBy("h", "q", "t").limit(2 * sample).select("q", "t", "x").toArrow()
     if not len(fitted):
         return None
-    x = [np.asarray(a, np.int64) for a in fitted["x"]]
-    return (*fit_linear(x, fitted["q"].map(posterior["q"]).to_numpy(float)), *fit_linear(x, fitted["t"].map(posterior["t"]).to_numpy(float)))
+    lists = fitted["x"].combine_chunks()
+    index, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    soft = {c: np.array([posterior[c][v] for v in fitted[c].to_pylist()]) for c in ("q", "t")}
+    del fitted, lists
+    return (*fit_linear(index, size, soft["q"]), *fit_linear(index, size, soft["t"]))
 
 
 def _score(model):

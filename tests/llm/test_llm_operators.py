@@ -409,7 +409,7 @@ def test_linear_scorer_equals_plain_steps():
     rng = np.random.default_rng(3)
     x = [np.sort(rng.choice(40, rng.integers(1, 9), False)) for _ in range(60)]
     y = rng.random(60)
-    w, bias = quality.fit_linear(x, y, rounds=15)
+    w, bias = quality.fit_linear(np.concatenate(x), np.array([len(a) for a in x]), y, rounds=15)
     v, b, g2, b2 = np.zeros(40), 0.0, np.full(40, 1e-8), 1e-8
     for _ in range(15):
         grad, total = np.zeros(40), 0.0
@@ -425,6 +425,10 @@ def test_linear_scorer_equals_plain_steps():
             v[k] = np.sign(z) * max(abs(z) - step * 2e-4, 0)
         b -= 0.3 * total / np.sqrt(b2)
     assert np.allclose(w[:40], v, atol=1e-9) and not w[40:].any() and abs(bias - b) < 1e-9
+    # what only one of many documents has stays at zero, so it may be left out
+    many = [np.append(rng.choice(5, 2, False), 100 + i) for i in range(6000)]
+    w, _ = quality.fit_linear(np.concatenate(many), np.full(6000, 3), (np.arange(6000) % 3 == 0).astype(float), rounds=5)
+    assert not w[100:].any()
 
 
 def test_labels_teach_the_lexicon(spark):
