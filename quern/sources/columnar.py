@@ -55,6 +55,18 @@ def fixed(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
         out[at + k] = raw[:, k]
 
 
+#: Bytes of a batch that are worked on at once; places of bytes take eight times that.
+PIECE = 8 << 20
+
+
+def pieces(batch):
+    """A batch or array in slices of about PIECE bytes, a row at least."""
+    n = batch.num_rows if isinstance(batch, pa.RecordBatch) else len(batch)
+    rows = max(1, PIECE // (batch.nbytes // max(n, 1) + 1))
+    for at in range(0, n, rows):
+        yield batch.slice(at, rows)
+
+
 def of_bytes(values: list[bytes]) -> Ragged:
     return Ragged(np.fromiter(map(len, values), np.int64, len(values)), np.frombuffer(b"".join(values), np.uint8))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.presence import little_endian
-from quern.sources.columnar import Ragged, fixed, inside, of_array, of_bytes, to_array, word_at
+from quern.sources.columnar import Ragged, fixed, inside, of_array, of_bytes, pieces, to_array, word_at
 
 #: Header: unpacked and packed size, 8 bytes each.
 HEADER = 16
@@ -167,9 +167,12 @@ def unpack(data: bytes | None) -> bytes | None:
 def _udf(f):
     @F.arrow_udf(T.BinaryType())
     def run(x: pa.Array) -> pa.Array:
+        return pa.concat_arrays(map(one, pieces(x))) if len(x) else pa.array([], pa.binary())
+
+    def one(x: pa.Array) -> pa.Array:
         made = f(of_array(x))
         full = to_array(made, pa.binary())
-        return pc.if_else(pa.array(made.size > 0), full, pa.scalar(None, pa.binary())) if len(x) and not made.size.all() else full
+        return full if made.size.all() else pc.if_else(pa.array(made.size > 0), full, pa.scalar(None, pa.binary()))
 
     return run
 

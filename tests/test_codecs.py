@@ -196,6 +196,17 @@ def test_pack_golden_and_round_trip():
             pack.unpack(bad)
 
 
+def test_batches_go_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    arr = pa.array([b"x" * 100] * 10 + [None, b""])
+    assert [len(p) for p in columnar.pieces(arr)] == [12]
+    monkeypatch.setattr(columnar, "PIECE", 250)
+    assert sum(len(p) for p in columnar.pieces(arr)) == 12 and max(len(p) for p in columnar.pieces(arr)) <= 3
+    batch = pa.RecordBatch.from_arrays([arr], ["a"])
+    assert pa.Table.from_batches(list(columnar.pieces(batch))).to_pydict() == batch.to_pydict() and not list(columnar.pieces(batch.slice(0, 0)))
+
+
 def test_pack_columns(spark):
     rows = [(b"\1" + bytes(15),), (b"",), (None,), (b"\7" * 16,)]
     df = spark.createDataFrame(rows, "x binary").select("x", pack.packed(F.col("x")).alias("p"))
