@@ -5,40 +5,53 @@ import pytest
 from quern.functions.schema import Registry, SchemaError, import_order, parse, type_hash, version
 from quern.functions.types import Ref, range_of
 
-MAKERS = parse("package makers\nenum Maker uint8 {\n Unknown @0\n Toyota @1\n Ford @2\n Tesla @3\n}\n")
-CARS = """
-package cars // a package
-version 0
-options [ IsSet() ]
+DIRT = parse("package dirt\nenum Soil uint16 {\n Bare @0\n Peat @300\n}\nstruct Probe {\n Acid float32 @0\n}\n")
+PLOT = """
+// beds and their rows
+package plot
+OPTIONS [ IsSet() ]
 import (
-    "example.com/makers"
+    earth "example.org/field/dirt"
 )
-Enum Model uint8 {
-    ModelUnknown @0
-    GT @1
+
+struct Row {
+    Sown map[int16]Stock @1
+    Beds []Bed @2
+    Long float32 @0
+}
+enum Stock uint8 {
+    None @0
+    Beans @9
 }
-Struct Car {
-    Year uint16 @2
-    Manufacturer makers.Maker @0
-    Model Model @1
-    Previous []Car @3
-    Ports map[string]int32 @4
-    Extra []Any @5
+struct Bed {
+    Rows []Row @4
+    Near []Bed @2
+    Soil earth.Soil @0
+    Found Any @3 // whatever was dug up
+    Probes []earth.Probe @1
 }
 """
 
 
+def plot():
+    return parse(PLOT, {"earth": DIRT})
+
+
 def test_fields_are_sorted_and_typed():
-    car = parse(CARS, {"makers": MAKERS}).structs["Car"]
-    assert [f.name for f in car.fields] == ["Manufacturer", "Model", "Year", "Previous", "Ports", "Extra"]
-    assert [f.ref.type_id for f in car.fields] == [6, 6, 7, 54, 55, 56]
+    found = plot()
+    assert {name: [(f.name, f.ref.type_id) for f in s.fields] for name, s in found.structs.items()} == {
+        "Row": [("Long", 10), ("Sown", 55), ("Beds", 54)],
+        "Bed": [("Soil", 7), ("Probes", 54), ("Near", 54), ("Found", 15), ("Rows", 54)],
+        "earth.Probe": [("Acid", 10)],
+    }
+    assert found.imports == {"earth": "example.org/field/dirt"} and found.enums["Stock"].by_value() == [("None", 0), ("Beans", 9)]
 
 
-def test_recursion_ends_in_bytes():
-    t = parse(CARS, {"makers": MAKERS}).spark("Car", 1)
-    inner = t["Previous"].dataType.elementType["Previous"].dataType
-    assert inner.elementType["Previous"].dataType.elementType.simpleString() == "binary"
-    assert t["Year"].metadata == {"num": 2}
+def test_structs_inside_each_other_end_in_bytes():
+    row = plot().spark("Bed", 1)["Rows"].dataType.elementType
+    again = row["Beds"].dataType.elementType
+    assert again["Rows"].dataType.elementType.simpleString() == again["Near"].dataType.elementType.simpleString() == "binary"
+    assert row["Sown"].metadata == {"num": 1} and row["Sown"].dataType.simpleString() == "map<smallint,smallint>"
 
 
 @pytest.mark.parametrize(
@@ -56,8 +69,9 @@ def test_bad_schemas_are_refused(text):
 
 
 def test_catalog(spark):
-    rows = {r.field_name: r for r in parse(CARS, {"makers": MAKERS}).catalog(spark).where("struct = 'Car'").collect()}
-    assert rows["Manufacturer"].enum_group == "Maker" and rows["Previous"].self_ref and rows["Ports"].key_type == 12 and rows["Ports"].value_type == 4
+    rows = {(r.struct, r.field_name): r for r in plot().catalog(spark).collect()}
+    assert len(rows) == 9 and rows["Bed", "Soil"].enum_group == "Soil" and [k for k, r in rows.items() if r.self_ref] == [("Bed", "Near")]
+    assert (rows["Row", "Sown"].key_type, rows["Row", "Sown"].value_type) == (3, 6)
 
 
 def test_identity_order_version():
@@ -69,9 +83,9 @@ def test_identity_order_version():
     with pytest.raises(SchemaError):
         version("1.2")
     r = Registry()
-    r.register("x", MAKERS)
+    r.register("x", DIRT)
     with pytest.raises(SchemaError):
-        r.register("x", MAKERS)
+        r.register("x", DIRT)
     assert r.lookup(b"0" * 16) is None
 
 
