@@ -17,7 +17,7 @@ struct Leaf {
  Sizes []int32 @1
 }
 struct Rec {
- Year uint16 @0
+ Count uint16 @0
  Ratio float64 @1
  Flags []bool @2
  Title string @3
@@ -33,7 +33,7 @@ S = P.structs
 
 
 def pair(spark, old, new):
-    zero = {"Year": 0, "Ratio": 0.0, "Flags": [], "Title": "", "Raw": b"", "Leaf": None, "Leaves": []}
+    zero = {"Count": 0, "Ratio": 0.0, "Flags": [], "Title": "", "Raw": b"", "Leaf": None, "Leaves": []}
     t = P.spark("Rec")
     rows = [(tuple((zero | old).values()), tuple((zero | new).values()))]
     df = spark.createDataFrame(rows, f"old {t.simpleString()}, new {t.simpleString()}")
@@ -47,25 +47,35 @@ def kinds(spark, old, new):
     return [(o["type"], o["index"]) for o in row.ops]
 
 
-def test_diff_golden(spark):
-    t, f = True, False
-    assert kinds(spark, {"Year": 2023}, {"Year": 2023}) == []
-    assert kinds(spark, {"Year": 2023}, {"Year": 2024}) == [(1, -1)]
-    assert kinds(spark, {"Flags": [t, f, t]}, {"Flags": [t, f, t]}) == []
-    assert kinds(spark, {"Flags": [t, f, t]}, {"Flags": [f, t, f]}) == [(5, 0), (5, 1), (5, 2)]
-    assert kinds(spark, {}, {"Flags": [t, f]}) == [(4, -1)]
-    assert kinds(spark, {"Flags": [t, f]}, {}) == [(4, -1)]
-    assert kinds(spark, {"Flags": [t, f, t]}, {"Flags": [t, t, t]}) == [(5, 1)]
-    assert kinds(spark, {"Flags": [t, f]}, {"Flags": [t, f, t, f]}) == [(6, 2), (6, 3)]
-    assert kinds(spark, {"Flags": [t, f, t, f]}, {"Flags": [t, f]}) == [(7, 3), (7, 2)]
-    assert kinds(spark, {"Title": "a", "Raw": b"x"}, {}) == [(2, -1), (2, -1)]
-    assert kinds(spark, {"Ratio": float("nan")}, {"Ratio": float("nan")}) == []
-    assert kinds(spark, {"Ratio": 0.0}, {"Ratio": -0.0}) == []
-    assert kinds(spark, {}, {"Leaf": ("n", [1])}) == [(1, -1)]
-    assert kinds(spark, {"Leaf": ("n", [1])}, {}) == [(2, -1)]
-    assert kinds(spark, {"Leaf": ("n", [1])}, {"Leaf": ("a much longer name", [1, 2, 3])}) == [(3, -1)]
-    assert kinds(spark, {}, {"Leaves": [("a", [])]}) == [(4, -1)]
-    assert kinds(spark, {"Leaves": [("a", []), ("b", [1])]}, {"Leaves": [("a", []), ("c", [1, 2])]}) == [(8, 1)]
+def plain_list_ops(old, new):
+    """(type, place) of positional edits, or of one replacement if they outnumber half of both lengths."""
+    n, m = len(old), len(new)
+    ops = [(5, i) for i in range(min(n, m)) if old[i] != new[i]] + [(6, i) for i in range(n, m)] + [(7, i) for i in reversed(range(m, n))]
+    return [(4, -1)] if len(ops) > (n + m) // 2 else ops
+
+
+def test_list_ops_follow_the_rule(spark):
+    rng = random.Random(12)
+    flags = lambda: [rng.random() < 0.6 for _ in range(rng.randint(0, 6))]
+    zero = {"Count": 0, "Ratio": 0.0, "Flags": [], "Title": "", "Raw": b"", "Leaf": None, "Leaves": []}
+    pairs = [(flags(), flags()) for _ in range(150)]
+    t = P.spark("Rec").simpleString()
+    df = spark.createDataFrame([(k, *(tuple((zero | {"Flags": x}).values()) for x in p)) for k, p in enumerate(pairs)], f"k int, old {t}, new {t}")
+    got = df.select("k", diff.diff(F.col("old"), F.col("new"), S["Rec"], S).alias("ops")).collect()
+    assert {r.k: [(o["type"], o["index"]) for o in r.ops] for r in got} == {k: plain_list_ops(*p) for k, p in enumerate(pairs)}
+
+
+def test_ops_of_other_fields(spark):
+    nan = float("nan")
+    whole = {"Count": 40, "Ratio": 0.25, "Title": "moss", "Raw": b"\x01\x02", "Leaf": ("fern", [7]), "Leaves": [("ivy", []), ("oak", [3])]}
+    assert kinds(spark, whole, whole) == [] == kinds(spark, {"Ratio": nan}, {"Ratio": nan}) == kinds(spark, {"Ratio": -0.0}, {"Ratio": 0.0})
+    # numbers are set, also to zero; empty text and bytes are cleared
+    assert kinds(spark, whole, whole | {"Count": 0, "Ratio": nan}) == [(1, -1), (1, -1)]
+    assert kinds(spark, whole, whole | {"Title": "", "Raw": b""}) == [(2, -1), (2, -1)]
+    # a struct is set where there was none, cleared, or patched
+    assert [kinds(spark, {"Leaf": a}, {"Leaf": b}) for a, b in ((None, ("fern", [])), (("fern", []), None), (("fern", []), ("fir", [9, 9, 9])))] == [[(1, -1)], [(2, -1)], [(3, -1)]]
+    # items of a struct list are patched in place
+    assert kinds(spark, whole, whole | {"Leaves": [("ivy", []), ("oak", [3, 4])]}) == [(8, 1)] and kinds(spark, {}, {"Leaves": [("ivy", [])]}) == [(4, -1)]
 
 
 def test_apply_of_diff_is_target(spark):
@@ -82,9 +92,9 @@ def test_apply_of_diff_is_target(spark):
 def test_maps_have_no_patch_and_unknown_ops_are_skipped(spark):
     with pytest.raises(diff.NotPatchable):
         diff.diff(F.col("a"), F.col("b"), S["WithMap"], S)
-    df = pair(spark, {"Year": 5}, {"Year": 6})
+    df = pair(spark, {"Count": 5}, {"Count": 6})
     odd = F.array(diff.op(0, 99, -1, F.lit("7")), diff.op(77, 1, -1, F.lit("7")))
-    assert df.select(patch.apply(F.col("old"), odd, S["Rec"], S).alias("r")).first().r.Year == 5
+    assert df.select(patch.apply(F.col("old"), odd, S["Rec"], S).alias("r")).first().r.Count == 5
 
 
 def test_list_edges(spark):
