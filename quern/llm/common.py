@@ -32,11 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's switch for deleting the shuffle files of a query when it has ended, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+    """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    The shuffle files that this took go at once, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_folder(spark, "table")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _scratch:
         atexit.register(drop_scratch, spark)
     _scratch.append(path)
