@@ -52,16 +52,28 @@ def stored(df: DataFrame) -> DataFrame:
     if not _scratch:
         atexit.register(drop_scratch, spark)
     _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete what ``stored`` has written for ``tables``, of which all that later tables need is stored."""
+    for df in tables:
+        _scratch.remove(df._quern_path)
+        _delete(df.sparkSession, df._quern_path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what ``stored`` has written; results that still read it become unreadable."""
     with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
         while _scratch:
-            path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, _scratch.pop())
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffix, winnow
-from .common import numbered, session_of, spread, stored
+from .common import free, numbered, session_of, spread, stored
 
 #: Bytes of context text in one suffix-array shard, contexts of one gram that a shard may hold, and shards of a task.
 SHARD_BYTES = 600_000
@@ -234,6 +234,7 @@ def remove_repeats(docs: DataFrame, text: str, doc_id: str, unit: str, n: int, k
     # stored, so that both sides of the join are plain exchanges whose skewed partitions can be split
     grams = stored(grams.select("g", (F.col("low") != F.col("high")).alias("mixed")))
     again = stored(found.join(grams, "g"))
+    free(found, grams)
     mixed = again.where("mixed")
     distinct = mixed.groupBy("g", "c").agg(F.count("*").alias("m"), F.min(F.struct("row", "s", "e", "a")).alias("one"))
     distinct = stored(distinct)
@@ -242,6 +243,7 @@ def remove_repeats(docs: DataFrame, text: str, doc_id: str, unit: str, n: int, k
     lent = distinct.select("one.row", F.struct("one.s", "one.e", "one.a", "g", "c", (F.col("m") == 1).alias("single")).alias("x")).groupBy("row").agg(F.collect_list("x").alias("lent"))
     about = known.join(lent, "row", "full")
     looked = stored(rows.join(about, "row", "left").select("row", "id", "text", "known", "lent").mapInArrow(_first_look(unit, n), _LOOK_DDL))
+    free(again, distinct)
     open_ = looked.where("text is not null")
     parts = looked.where("g is not null")
     late = (_by_suffix_arrays(parts.select("g", "c", "row", "s", "windows", "single", "context"), n) if unit == "bytes" else _by_extension(parts.select("left", "right", "row", "s", "single")))

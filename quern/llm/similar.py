@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, numbered, session_of, small, spread, stored
+from .common import components, free, numbered, session_of, small, spread, stored
 from .simhash import bits_of, first_of_groups, links, shingle_hashes
 
 #: Bits that the fingerprints of candidates of the first pass differ in at most.
@@ -95,7 +95,10 @@ def _buckets(sets: DataFrame) -> DataFrame:
     index = stored(ranked.select("s", "n", "h", "own", (F.col("at") + F.col("own")).alias("at")).where("at <= n - (4 * n + 4) div 5 + 1"))
     sums = [F.sum(F.xxhash64("s", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
     held = index.groupBy("h").agg(F.count("*").alias("c"), F.xxhash64(F.count("*"), *sums).alias("g")).where("c > 1")
-    return stored(index.join(stored(held.select("h", "g")), "h").groupBy("g", "s", "n", "own").agg(F.min("at").alias("at")))
+    held = stored(held.select("h", "g"))
+    out = stored(index.join(held, "h").groupBy("g", "s", "n", "own").agg(F.min("at").alias("at")))
+    free(shared, index, held)
+    return out
 
 
 def _named(buckets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,6 +148,7 @@ def similar_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     # each copy of a set counts its shared shingles once; a partner has at least 0.8 n
     alive = heads.join(paired, "h").groupBy("_key").count().join(keys, F.col("_key") == F.col("key")).where("count >= copies * (1 + (4 * n + 4) div 5 div 20)")
     alive = stored(alive.select("key", "fp", F.col("least._row").alias("_row")))
+    free(found, paired)
     sets = stored(row.join(small(alive.select("_row"), alive.count()), "_row", "left_semi").select("_text").mapInArrow(_sets(shingle), "s long, n long, grams array<long>"))
     # fingerprints first: near ones and equal ones
     near = links(stored(alive.select("fp").distinct()), radius)
