@@ -49,11 +49,16 @@ SPACE, WORD, ALNUM, UPPER, LOWER = 1, 2, 4, 8, 16
 @cache
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: flags (white space, part of a word, letter or digit, capital, other cased letter), and a hash."""
-    chars = list(map(chr, range(sys.maxunicode + 1)))
-    of = lambda f, flag: np.fromiter(map(f, chars), bool, len(chars)) * np.uint8(flag)
-    flags = of(str.isspace, SPACE) | of(str.isalnum, WORD | ALNUM) | of(str.isupper, UPPER) | of(lambda c: c.islower() or c.istitle() and not c.isupper(), LOWER)
+    size, step = sys.maxunicode + 1, 1 << 16
+    flags, hashes = np.zeros(size, np.uint8), np.arange(1, size + 1, dtype=np.uint64)
+    lower = lambda c: c.islower() or c.istitle() and not c.isupper()
+    # a part at a time: a million strings at once would stay with the worker
+    for at in range(0, size, step):
+        for flag, f in ((SPACE, str.isspace), (WORD | ALNUM, str.isalnum), (UPPER, str.isupper), (LOWER, lower)):
+            flags[at : at + step] |= np.fromiter(map(f, map(chr, range(at, at + step))), bool, step) * np.uint8(flag)
+        hashes[at : at + step] = mix(hashes[at : at + step])
     flags[ord("_")] |= WORD
-    return flags, mix(np.arange(1, len(chars) + 1, dtype=np.uint64))
+    return flags, hashes
 
 
 def _points(text: str) -> np.ndarray:
